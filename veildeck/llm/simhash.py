@@ -75,7 +75,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("one of three segments differs by one bit at most only up to five bits")
     # A number of partitions of our own: each print becomes 64 rows, which Spark's estimate leaves out.
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = prints.select("print").repartition(spread, "print").distinct().select("print", F.explode(_variants(F.col("print"))).alias("key"))
+    keyed = prints.select("print").distinct().repartition(spread, "print").select("print", F.explode(_variants(F.col("print"))).alias("key"))
     a, b = (keyed.select(F.col("print").alias(x), F.col("key").alias(f"k{x}")) for x in "ab")
     x = F.col("a").bitwiseXOR(F.col("b"))
     bit = F.shiftrightunsigned(F.col("ka"), 32)
