@@ -55,12 +55,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Markov:
-    """Counts of character pairs of a sample of strings, the first after a start mark; add-half smoothing."""
+    """Counts of character pairs of a sample of strings, the first after a start mark, with a share of the
+    single characters' frequencies, so that what follows a rare character isn't taken for random."""
+
+    SHARE = 4.0
 
     def __init__(self, strings: list[str]):
         n = len(KEY_CHARS)
         self.index = {c: i for i, c in enumerate(KEY_CHARS)}
-        counts = np.full((n + 1, n), 0.5)
+        counts = np.zeros((n + 1, n))
         for s in strings:
             before = n
             for c in s:
@@ -69,6 +72,8 @@ class Markov:
                 else:
                     counts[before, k] += 1
                     before = k
+        single = counts.sum(axis=0) + 0.5
+        counts += self.SHARE * single / single.sum()
         self.logs = np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -162,3 +167,17 @@ def scanned(docs: DataFrame, scanner: Scanner) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted_text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted_text string")
+
+
+def without_secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
+    """docs with the spans of text replaced, and n_chars, where it is a column, counted anew."""
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("scanned"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [redacted(t, s) if t and (s := scanner.spans(t)) else t for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "clean"])
+
+    done = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, clean string")
+    new = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
