@@ -75,7 +75,8 @@ def hits(documents: DataFrame, windows: DataFrame, in_place: bool) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2, in_memory: int = IN_MEMORY) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted, comma-joined) and contaminated of every row."""
+    """doc_id, tag (a hash of the text), n_words, n_hit, n_items, items (sorted, comma-joined) and
+    contaminated of every row."""
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = written(item_windows(items.select("item_id", "text").where("text is not null"), documents, window), "windows")
     bytes_ = windows.agg(F.sum(F.length("window") * 4 + 80)).first()[0] or 0
@@ -87,4 +88,10 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_
     out = sizes.join(marks, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag")), "left")
     drop(windows)
     n_items = F.coalesce("n_items", F.lit(0))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), n_items.alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), (n_items >= least_items).alias("contaminated"))
+    return out.select("doc_id", "tag", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), n_items.alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), (n_items >= least_items).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns."""
+    found = contaminated(docs, items, window, least_items).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
+    return docs.join(written(found, "contaminated"), F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_tag")), "left_anti")

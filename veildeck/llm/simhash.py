@@ -48,12 +48,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(1).cast(pa.binary())), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints.view(np.int64))], ["doc_id", "tag", "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print, the fingerprint as a signed long, of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_print_batches, "doc_id long, print long")
+    """doc_id, tag (a hash of the text) and print, the fingerprint as a signed long, of every row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+    return texts.mapInArrow(_print_batches, "doc_id long, tag long, print long")
 
 
 def _variants(x: Column) -> Column:
@@ -113,12 +114,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, print and component_id, the smallest doc_id reachable over links, for every row."""
+    """Of every row doc_id, tag (a hash of its text), print, root (its group) and component_id, the smallest
+    doc_id of the group (null if no row of it has one)."""
     prints = written(fingerprints(docs), "prints")
     roots = components(links(prints, max_bits)).select(F.col("node").alias("print"), "root")
     least = prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    ids = least.select("root", "print").join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
-    return prints.join(ids, "print").select("doc_id", "print", "component_id")
+    ids = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "root", "component_id")
+    return prints.join(ids, "print").select("doc_id", "tag", "print", "root", "component_id")
+
+
+def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs that stay if one of each group does: that of the smallest doc_id, without an id only
+    where no row of the group has one. All columns stay."""
+    found = written(near_duplicates(docs, max_bits), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
+    stay = written(first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.tag").alias("stay_tag")), "stay")
+    again = found.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("tag") == F.col("stay_tag"))).count() > stay.count()
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_tag"))
+    kept = docs.join(stay, here, "left_semi")
+    drop(found)
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept  # only rows that repeat are in excess
 
 
 def hexed(x: Column) -> Column:
