@@ -1,0 +1,35 @@
+"""The pipeline's stages, each on what the one before kept."""
+
+import pytest
+from pyspark.sql import functions as F
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages_keep_clean_documents(spark, tmp_path):
+    one = "the people of the town were sad and so they went to see what had been done with all of it in those days"
+    other = "we found that most of this was never any good for them because some other things had come up on that morning"
+    item = "zebra quokka walrus heron osprey marten ferret badger weasel otter"
+    docs = [(1, one, "en"), (2, one, "en"), (2, one, "en"), (3, other, "en"), (4, f"so {item} there is more of the same here", "en"), (5, "12 345 ...", "en"), (6, None, None), (7, f"{other[::-1]} password=hunter2hunter2 and then the rest of it", "en"), (8, "", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, ids = now.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        ids[name] = sorted(r.doc_id for r in now.select("doc_id").collect())
+        if name != "packing":
+            assert now.columns == columns
+        if name == "secrets":
+            (text,) = now.where("doc_id = 7").select("text").first()
+            assert "hunter2" not in text and "<secret>" in text
+            assert now.where("n_chars <> length(text)").count() == 0
+    assert ids["language"] == [1, 2, 2, 3, 4, 7]
+    assert ids["near_duplicates"] == [1, 3, 4, 7]
+    assert ids["decontamination"] == ids["secrets"] == [1, 3, 7]
+    assert set(ids["packing"]) == {1, 3, 7}
+
+
+def test_run_is_the_stages(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
