@@ -31,7 +31,9 @@ from .common import written
 #: Never part of UTF-8, so it stands for the ends of a text.
 END = 0xFF
 #: A chunk of texts is closed at either bound, or after one text beyond it.
-CHUNK_BYTES, CHUNK_DOCS = 16 << 20, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 12 << 20, 60_000
+#: Bytes whose codes are held at once, or one text's; distinct codes held before they are merged.
+SLICE, HELD_CODES = 2 << 20, 2 << 20
 FOLDS, HELD = 5, 1
 
 
@@ -65,15 +67,34 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
         yield ids, texts
 
 
+def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE:
+            yield texts[start : k + 1]
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+def _summed_codes(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    if len(parts) < 2:
+        return parts
+    code, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return [(code, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64))]
+
+
 def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 24, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     for ids, texts in _chunks(batches):
-        if train := [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]:
-            total += np.bincount(codes(train)[0], minlength=1 << 24)
-    seen = np.flatnonzero(total)
-    for k in range(0, len(seen), 1 << 16):
-        part = seen[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["code", "n"])
+        for some in _slices([t for i, t in zip(ids, texts, strict=True) if not held_out(i)]):
+            parts.append(np.unique(codes(some)[0], return_counts=True))
+            if sum(len(c) for c, _ in parts) > HELD_CODES:
+                parts = _summed_codes(parts)
+    for code, n in _summed_codes(parts):
+        for k in range(0, len(code), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(code[k : k + (1 << 16)].astype(np.int32)), pa.array(n[k : k + (1 << 16)])], ["code", "n"])
 
 
 def log_table(code: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -132,8 +153,7 @@ def _postings(model):
         for ids, texts in _chunks(batches):
             chunk = np.random.default_rng().integers(1 << 62)  # a name only: results don't depend on it
             train = np.array([not held_out(i) for i in ids])
-            at, starts = codes(texts)
-            scores = np.add.reduceat(table[at].astype(np.float64), starts)
+            scores = np.concatenate([np.add.reduceat(table[at].astype(np.float64), starts) for some in _slices(texts) for at, starts in [codes(some)]])
             index: dict[bytes, int] = {}
             found, lengths = [], []
             for t in texts:
