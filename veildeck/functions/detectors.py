@@ -90,8 +90,7 @@ def dates(text: Column, include_bare: bool = False) -> Column:
     if include_bare:
         forms += [(DATE_BARE_14, "bare", _bare_fits), (DATE_BARE_8, "bare", _bare_fits)]
     found = [S.find(text, p, lambda a, b, m, k=k: S.span(a, b, "date", m, "date", SCORES[k]), v) for p, k, v in forms]
-    everything = F.concat(*found)
-    return F.when(F.size(everything) <= 1, everything).otherwise(S.without_overlaps(everything))
+    return S.let(F.concat(*found), lambda all_: F.when(F.size(all_) <= 1, all_).otherwise(S.without_overlaps(all_)))
 
 
 def _quoted(value: Column) -> Column:

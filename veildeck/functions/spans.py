@@ -25,6 +25,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -38,7 +43,7 @@ def find(text: Column, pattern: Column | str, make: Callable[[Column, Column, Co
     """The spans make(start, end, match) of all matches of a pattern, those that are not valid left out.
 
     valid sees the match alone. The pattern may be a column, with another value in each row."""
-    clean = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, NEITHER)
+    clean = F.translate(text, OPEN + CLOSE, NEITHER)
     rx = pattern if isinstance(pattern, Column) else F.lit(pattern)
     parts = F.split(F.regexp_replace(clean, rx, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]")
     state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"))
@@ -52,7 +57,7 @@ def find(text: Column, pattern: Column | str, make: Callable[[Column, Column, Co
     if valid is not None:
         found = F.filter(found, lambda m: valid(m["text"]))
     # A text without a match, nearly all of them, costs one search.
-    return F.when(clean.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(clean, rx), F.transform(found, lambda m: make(m["start"], m["end"], m["text"]))).otherwise(no_spans())
+    return F.when(text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, rx), F.transform(found, lambda m: make(m["start"], m["end"], m["text"]))).otherwise(no_spans())
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 What a claim, a stale reset and a worker's loop do by hand, the checkpoint does: a batch that wasn't
 committed is read again, and files already in the results are passed over by key, so a replay adds nothing.
+Files of no bytes are not read by Spark's file sources.
 """
 
 from __future__ import annotations
