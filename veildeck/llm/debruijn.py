@@ -187,9 +187,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFra
         raise ValueError("an edge is at most as long as a window, and not over 254 words shorter")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(texts.mapInArrow(_edge_rows(window, edge), "edge long, stretch long, doc_id long, at long"), "edges")
-    twice = found.groupBy("edge").count().where("count > 1").select("edge")
+    # What is joined is written first: both sides then come straight from an exchange, and Spark can split
+    # the rows of a very common edge.
+    twice = written(found.groupBy("edge").count().where("count > 1").select("edge"), "twice")
     shared = written(found.join(twice, "edge", "left_semi"), "shared")
-    drop(found)
+    drop(found, twice)
     kinds = written(shared.groupBy("edge", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("source")), "stretches")
     paths = shared.join(kinds.where("n > 1").select("edge", "stretch"), ["edge", "stretch"], "left_semi").select("doc_id", "at")
     branches = kinds.groupBy("edge").agg(F.min("n").alias("least"), F.count("*").alias("ways")).where("ways > 1 and least = 1").select("edge")
@@ -197,10 +199,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFra
     spots = spots.groupBy("spot_id").agg(F.collect_set("spot").alias("spots")).hint("shuffle_hash")
     read = texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_id"))).select("doc_id", "text", "spots")
     single = written(read.mapInArrow(_branch_rows(window), "edge long, whole long, doc_id long, at long, many boolean"), "windows")
-    met = single.groupBy("edge", "whole").agg((F.count("*") + F.sum(F.col("many").cast("int"))).alias("n")).where("n > 1").select("edge", "whole")
+    met = written(single.groupBy("edge", "whole").agg((F.count("*") + F.sum(F.col("many").cast("int"))).alias("n")).where("n > 1").select("edge", "whole"), "met")
     parts = single.where("not many").join(met, ["edge", "whole"], "left_semi").select("doc_id", "at")
     out = written(paths.unionByName(parts), "repeated")
-    drop(shared, kinds, single)
+    drop(shared, kinds, single, met)
     return out
 
 
