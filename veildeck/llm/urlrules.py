@@ -52,6 +52,20 @@ def _bounds(urls: DataFrame, ranges: int) -> list[str]:
     return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
 
 
+def _place(bounds: list[str], x: Column, or_equal: bool = False) -> Column:
+    """How many bounds are below x (or equal to it): a binary search, a step for each bit of their number."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def step(at: Column, n: Column) -> Column:
+        cut = F.get(cuts, at + n - 1)
+        return F.when(F.coalesce(cut <= x if or_equal else cut < x, F.lit(False)), at + n).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stack: list[tuple[str, dict]] = []  # open rules: the end of a host's interval, and its paths
     now = None
@@ -92,15 +106,14 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     urls = written(own.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).withColumn("key", host_key(F.col("host"))), "urls")
     bounds = _bounds(urls, ranges)
-    cuts = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<string>")
-    below = F.size(F.filter(cuts, lambda c: c < F.col("key")))
-    equal = F.size(F.filter(cuts, lambda c: c == F.col("key")))
+    below = _place(bounds, F.col("key"))
+    equal = _place(bounds, F.col("key"), or_equal=True) - below
     # A key that several cuts equal has several ranges to itself, besides parts of those next to them.
     to = below + F.when(equal > 0, F.pmod(F.xxhash64("page_id", "url"), equal + 1)).otherwise(0)
     rows = urls.select(to.cast("int").alias("part"), "key", F.lit(True).alias("is_url"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     parts = rules.where("rule is not null").select("rule", "verdict", ascii_lower(F.substring_index("rule", "/", 1)).alias("host")).withColumn("path", F.expr("substr(rule, length(host) + 1)")).withColumn("key", host_key(F.col("host")))
     end = F.expr("concat(substr(key, 1, length(key) - 1), '/')")
-    first, last = F.size(F.filter(cuts, lambda c: c < F.col("key"))), F.size(F.filter(cuts, lambda c: c < F.col("end")))
+    first, last = _place(bounds, F.col("key")), _place(bounds, F.col("end"))
     opened = parts.withColumn("end", end).select(F.explode(F.sequence(first, last)).alias("part"), "key", F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("page_id"), "host", "path", "rule", "verdict")
     both = rows.unionByName(opened)
     swept = both.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "key", "is_url")
