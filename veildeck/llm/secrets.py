@@ -111,13 +111,13 @@ def random_strings(n: int = SAMPLE_STRINGS, seed: int = 11) -> list[str]:
 
 
 def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
-    """The labelled samples of ordinary identifiers: key-character words outside base spans of n documents,
-    those whose id's hash is smallest."""
-    rows = docs.where("text is not null").select("text", F.xxhash64(F.lit("ordinary"), "doc_id").alias("at"))
-    out: set[str] = set()
-    for (text,) in rows.orderBy("at", F.xxhash64("text")).limit(n).select("text").mapInArrow(_words_of, "word string").distinct().toLocalIterator():
-        out.add(text)
-    return sorted(out)
+    """The labelled samples of ordinary identifiers: key-character words outside base spans of about n
+    documents, chosen by a hash of their ids. Only their distinct words leave the tasks."""
+    rows = docs.where("text is not null").select("doc_id", "text")
+    total = rows.count()
+    chosen = F.pmod(F.xxhash64(F.lit("ordinary"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, n / max(total, 1)) * (1 << 30))
+    words = rows.where(chosen).select("text").mapInArrow(_words_of, "word string").distinct()
+    return sorted(r.word for r in words.collect())
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
