@@ -82,9 +82,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def profiles(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict[str, np.ndarray]:
     """The ranked n-grams of each language of the rows doc_id, text, lang: at most `top` each."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = rows.groupBy(F.col("lang").alias("counted")).agg(F.count("*").alias("all"))
-    share = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)) < F.lit(float(sample) * (1 << 30)) / F.col("all")
-    chosen = rows.join(counts, F.col("lang") == F.col("counted")).where(share).select("lang", "text")
+    # A row for each language, as the profiles themselves come back: the shares then need no join of texts.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    place = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, sample / n) * (1 << 30)))])
+    chosen = rows.where(place < share[F.col("lang")]).select("lang", "text")
     sums = chosen.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "gram", "rank").toPandas()
@@ -102,7 +106,7 @@ class Judge:
             self.rank[k, np.searchsorted(self.known, profile[lang])] = np.arange(len(profile[lang]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        codes, counts = grams(text) if text else ((), ())
+        codes, counts = grams(text) if text and any(map(str.isalpha, text)) else ((), ())  # not of other numerals alone
         if not len(codes) or not self.langs:
             return UNKNOWN, 0.0
         own = ranked(codes, counts, self.top)
