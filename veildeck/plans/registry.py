@@ -76,15 +76,35 @@ def redact_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {NOTES}, o AS (SELECT k, length(nric) AS n FROM t) SELECT k, 5::BIGINT AS at, (5 + n + 5)::BIGINT AS til, 'custom' AS category, 1.0::DOUBLE AS score, (5 + n)::BIGINT AS raw_end FROM o")
 def merge_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """A number and a longer custom phrase over it become one span, under the longer one's label."""
+    """A number and a longer custom phrase over it become one span, under the longer one's label: the first
+    merged span of a whole note, as the twin gives it. merge_overlaps_all gives them all."""
     scanner = D.Scanner(custom=(D.CustomRule(r"S\d{7}[A-Z] call\b", score=0.6),), detect_dates=False)
-    rows = X.notes(spark, sf).withColumn("head", F.substring("text", 1, 20)).withColumn("raw", scanner.raw(F.col("head")))
-    one = rows.select("k", "raw", F.element_at(S.merge(F.col("raw")), 1).alias("m"))
+    rows = S.once(X.notes(spark, sf), "raw", scanner.raw(F.col("text")))
+    one = S.once(rows, "merged", S.merge(F.col("raw"))).select("k", "raw", F.get("merged", F.lit(0)).alias("m"))
     first = F.element_at(F.filter("raw", lambda s: s["source"] == "sg"), 1)
     # The union's score is the higher one; a valid number's is 1, and so is never below the phrase's.
     return one.select("k", F.col("m.start").cast("long").alias("at"), F.col("m.end").cast("long").alias("til"), "m.category", F.when(F.col("m.score") >= 0.6, 1.0).otherwise(0.0).alias("score"), first["end"].cast("long").alias("raw_end"))
 
 
+def _all_merged() -> str:
+    rows = [
+        (_at(*_PIECES[:1]), _at(*_PIECES[:2], "' call'"), "'custom'", f"CASE WHEN substr(nric, 9, 1) = {LETTER} THEN 1.0 ELSE 0.6 END"),
+        (_at(*_PIECES[:3]), _at(*_PIECES[:4]), "'phone'", "0.9"),
+        (_at(*_PIECES[:5]), _at(*_PIECES[:6]), "'email'", "1.0"),
+        (_at(*_PIECES[:6], "', '"), _at(*_PIECES[:8]), "'custom'", "0.7"),
+        (_at(*_PIECES[:9]), _at(*_PIECES[:10]), "'date'", "0.85"),
+    ]
+    return f"WITH {NOTES} " + " UNION ALL ".join(f"SELECT k, ({at})::BIGINT AS at, ({til})::BIGINT AS til, {category} AS category, ({score})::DOUBLE AS score FROM t" for at, til, category, score in rows)
+
+
+@query(_all_merged())
+def merge_overlaps_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every merged span of every note: phrases over the number and over the case number, the rest alone."""
+    scanner = D.Scanner(custom=(D.CustomRule(r"S\d{7}[A-Z] call\b", score=0.6), D.CustomRule(r"case \d{10}B\b", score=0.6)))
+    found = D.scanned(X.notes(spark, sf), "text", scanner).select("k", F.explode("spans").alias("s"))
+    return found.select("k", F.col("s.start").cast("long").alias("at"), F.col("s.end").cast("long").alias("til"), "s.category", "s.score")
+
+
 _DATES = """WITH d AS (SELECT o_orderkey AS k, o_orderdate AS d FROM orders),
 v AS (SELECT k, CASE k % 6 WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN strftime(d, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(d, '%d %b %Y') WHEN 3 THEN strftime(d, '%B %d, %Y') WHEN 4 THEN strftime(d, '%Y.%m.%d') ELSE strftime(d, '%Y%m%d') END AS v, CASE k % 6 WHEN 1 THEN 0.85 WHEN 0 THEN 0.8 WHEN 4 THEN 0.8 WHEN 5 THEN 0.6 ELSE 0.9 END::DOUBLE AS score FROM d)
 SELECT k, v AS value, score FROM v"""
