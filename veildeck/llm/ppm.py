@@ -1,7 +1,12 @@
 """Language-model scores: prediction by partial matching over bytes, and a unigram base score.
 
-The trie holds the byte contexts of orders 0, 1 and 2 of the training texts, so it has at most 256^3
-leaves whatever the corpus: that bound is why it may be sent to every executor. A text's probability is
+Contexts of up to `order` bytes are used. Those of orders 0, 1 and 2 have at most 256^3 counts whatever the
+corpus and are sent to every executor. Longer ones grow with the corpus and are never in one place: a chunk
+of texts sends each of its distinct codes (a byte and its context) once, with its training count, to the
+bucket of the code's three nearest bytes, which so holds all counts of all contexts that end in them, works
+out the probabilities and sends them back to the chunk in the order of its codes.
+
+A text's probability is
 the product over its bytes and one end mark. A byte seen after its longest context takes
 count / (total + kinds); else the escape, kinds / (total + kinds), is paid and the next shorter context
 predicts, without the bytes that the longer one would have predicted (symbol exclusion); below order 0
@@ -9,8 +14,8 @@ the bytes never seen share what is left. Where nothing is left to escape to, not
 each context's probabilities sum to 1.
 
 The base score needs counts of all words of the corpus, which have no bound. Texts are read in chunks;
-a chunk sends each of its distinct words once, with the places where it stands, to be joined with the
-word's count, and what comes back for a chunk is summed up for each of its texts.
+a chunk sends each of its distinct words once, with its number in the chunk, to be joined with the word's
+count. Both sums are taken where a chunk's texts, its words' counts and its codes' probabilities meet.
 
 Cases: a null or empty text has one token, the end; with no training text N and V are 0; rows may repeat
 and keep their own scores; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +24,7 @@ and keep their own scores; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +41,8 @@ CHUNK_BYTES, CHUNK_DOCS = 12 << 20, 60_000
 #: Bytes whose codes are held at once, or one text's; distinct codes held before they are merged.
 SLICE, HELD_CODES = 2 << 20, 2 << 20
 FOLDS, HELD = 5, 1
+#: Orders up to this are sent to every executor; buckets that the codes of higher ones are dealt to.
+LOW, BUCKETS = 2, 1 << 11
 
 
 def held_out(doc_id: int | None, folds: int = FOLDS, fold: int = HELD) -> bool:
@@ -142,84 +150,214 @@ def trained(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["code"].to_numpy().astype(np.int64), got["n"].to_numpy()
 
 
-FIELDS = "token binary, n_train long, spots binary, ids binary, lengths binary, scores binary"
-
-
-def _postings(model):
-    """Per chunk: its distinct words, and one row of the texts themselves with the end mark's token."""
+def long_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte and end mark with its context as one number, nearest context byte first and the byte itself
+    last, so that in sorted order all contexts stand together that end alike; and where each text's begin."""
+    mark = b"\xff" * order
+    x = np.frombuffer(mark + (b"\xff" + mark).join(texts) + b"\xff", np.uint8).astype(np.int64)
+    n = len(x) - order
+    found = x[order:].copy()
+    for k in range(1, order + 1):
+        found |= x[order - k : order - k + n] << (8 * (order + 1 - k))
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    keep = np.ones(n, bool)
+    ends = np.cumsum(sizes + order)[:-1]
+    for k in range(order):  # the marks before the next text
+        keep[ends - 1 - k] = False
+    return found[keep], np.cumsum(sizes) - sizes
+
+
+def _bucket(code: np.ndarray, order: int) -> np.ndarray:
+    near = (code >> (8 * (order + 1 - min(order, LOW + 1)))).astype(np.uint64)
+    return ((near * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(21)).astype(np.int32)
+
+
+def _squeezed(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending codes and their counts, as planes of bytes of their differences."""
+    both = np.stack([np.diff(code, prepend=0), n.astype(np.int64)])
+    return zlib.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    both = np.ascontiguousarray(planes.T).view(np.int64).reshape(2, -1)
+    return np.cumsum(both[0]), both[1]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted in ascending keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def log_probabilities(code: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """log10 of the probability of each of the ascending codes; n are their training counts, 0 for codes that
+    held-out texts alone have. All trained codes with the same nearest three bytes must be among them; low has
+    those of order 2. What follows a context also follows its shorter ones, so the symbols to exclude at a
+    level are those of the next longer context."""
+    trained_, counts = code[n > 0], n[n > 0].astype(np.float64)
+    short = (low[0] >> 8 & 0xFF) << 16 | (low[0] >> 16) << 8 | low[0] & 0xFF
+    levels: list[tuple] = []  # pairs of context and symbol, their counts; contexts, their totals, kinds, and excluded counts below
+    for j in range(order + 1):
+        if j > LOW:
+            pair, weight = trained_ >> (8 * (order + 1 - j)) << 8 | trained_ & 0xFF, counts
+        else:
+            pair, weight = short >> (8 * (LOW + 1 - j)) << 8 | short & 0xFF, low[1]
+        pair, place = np.unique(pair, return_inverse=True)
+        c = np.bincount(place, weights=weight, minlength=len(pair))
+        context, at = np.unique(pair >> 8, return_inverse=True)
+        gone = np.zeros(len(context))
+        if j:
+            shorter = levels[-1]
+            gone = np.bincount(at, weights=shorter[1][_found(shorter[0], pair >> 16 << 8 | pair & 0xFF)[0]], minlength=len(context))
+        levels.append((pair, c, context, np.bincount(at, weights=c, minlength=len(context)), np.bincount(at, minlength=len(context)), gone))
+    out, done = np.zeros(len(code)), np.zeros(len(code), bool)
+    gone, gone_kinds = np.zeros(len(code)), np.zeros(len(code))
+    for j in range(order, -1, -1):
+        pair, c, context, total, kinds, below = levels[j]
+        at, there = _found(context, code >> (8 * (order + 1 - j)))
+        if not len(context):
+            continue
+        left, new = total[at] - gone, kinds[at] - gone_kinds
+        escape = np.where(kinds[at] < 256, new, 0)
+        place, seen = _found(pair, code >> (8 * (order + 1 - j)) << 8 | code & 0xFF)
+        act = there & (left > 0) & ~done
+        out[act] += np.log10(np.where(seen, c[place], escape)[act] / (left + escape)[act])
+        done |= act & seen
+        gone, gone_kinds = np.where(there, below[at], gone), np.where(there, kinds[at], gone_kinds)
+    out[~done] -= np.log10(256 - len(levels[0][0])) if not done.all() else 0
+    return out
+
+
+def _distinct(texts: list[bytes], train: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of a chunk, ascending, and their counts in training texts."""
+    parts = []
+    for kind in (True, False):
+        for some in _slices([t for t, k in zip(texts, train, strict=True) if k == kind]):
+            code, n = np.unique(long_codes(some, order)[0], return_counts=True)
+            parts.append((code, n if kind else np.zeros(len(n), np.int64)))
+    return _summed_codes(parts)[0]
+
+
+FIELDS = "token binary, number int, n_train long, masked binary, ids binary, bucket int, data binary"
+#: The bucket of the row that holds a chunk's texts.
+TEXTS = -1
+
+
+def _postings(order: int):
+    """Per chunk: its distinct words, one row of the texts' ids with the end mark's token, its distinct codes
+    by bucket, and one row of the texts themselves."""
+    names = ["chunk", *(f.split()[0] for f in FIELDS.split(", "))]
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([("chunk", pa.int64()), *((f.split()[0], types[f.split()[1]]) for f in FIELDS.split(", "))])
+
+    def rows(n: int, chunk: int, **columns) -> pa.RecordBatch:
+        columns["chunk"] = np.full(n, chunk)
+        return pa.RecordBatch.from_arrays([pa.array(columns[x], schema.field(x).type) if x in columns else pa.nulls(n, schema.field(x).type) for x in names], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = log_table(*model.value)
         for ids, texts in _chunks(batches):
-            chunk = np.random.default_rng().integers(1 << 62)  # a name only: results don't depend on it
-            train = np.array([not held_out(i) for i in ids])
-            scores = np.concatenate([np.add.reduceat(table[at].astype(np.float64), starts) for some in _slices(texts) for at, starts in [codes(some)]])
+            chunk = int(np.random.default_rng().integers(1 << 62))  # a name only: results don't depend on it
+            train = [not held_out(i) for i in ids]
             index: dict[bytes, int] = {}
-            found, lengths = [], []
-            for t in texts:
-                w = t.lower().split()
-                lengths.append(len(w) + 1)
-                found.append(np.fromiter((index.setdefault(x, len(index)) for x in w), np.int32, len(w)))
-            tokens, doc = np.concatenate(found), np.repeat(np.arange(len(texts), dtype=np.uint16), np.array(lengths) - 1)
-            order = np.argsort(tokens, kind="stable")
-            edges = np.zeros(len(index) + 1, np.int64)
-            np.cumsum(np.bincount(tokens, minlength=len(index)), out=edges[1:])
-            n_train = np.bincount(tokens, weights=train[doc], minlength=len(index)).astype(np.int64)
-            spots = doc[order].tobytes()
-            keys = pa.array(index, pa.binary())
-            places = pa.Array.from_buffers(pa.large_binary(), len(index), [None, pa.py_buffer((edges * 2).astype(np.int64)), pa.py_buffer(spots)]).cast(pa.binary())
-            null = pa.nulls(len(index), pa.binary())
-            for k in range(0, len(index), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                m = len(keys[part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), keys[part], pa.array(n_train[part]), places[part], null[part], null[part], null[part]], names=["chunk", "token", "n_train", "spots", "ids", "lengths", "scores"])
+            n_train = Counter()
+            for t, known in zip(texts, train, strict=True):
+                own = [index.setdefault(x, len(index)) for x in t.lower().split()]
+                if known:
+                    n_train.update(own)
+            words, n = list(index), np.fromiter((n_train[k] for k in range(len(index))), np.int64, len(index))
+            for k in range(0, len(words), 1 << 16):
+                m = len(words[k : k + (1 << 16)])
+                yield rows(m, chunk, token=words[k : k + m], number=np.arange(k, k + m, dtype=np.int32), n_train=n[k : k + m])
             masked = np.array([i is None for i in ids])
             plain = np.array([0 if i is None else i for i in ids], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk]), pa.array([b""]), pa.array([int(train.sum())]), pa.array([masked.tobytes()]), pa.array([plain.tobytes()]), pa.array([np.array(lengths, np.int64).tobytes()]), pa.array([scores.tobytes()])],
-                names=["chunk", "token", "n_train", "spots", "ids", "lengths", "scores"],
-            )
+            yield rows(1, chunk, token=[b""], n_train=[sum(train)], masked=[masked.tobytes()], ids=[plain.tobytes()])
+            code, count = _distinct(texts, train, order)
+            bucket = _bucket(code, order)
+            by = np.argsort(bucket, kind="stable")
+            code, count, bucket = code[by], count[by], bucket[by]
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            data = [_squeezed(code[i:j], count[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+            yield rows(len(data), chunk, bucket=bucket[edges[:-1]], data=data)
+            raw = b"".join(texts)
+            sizes = np.array([len(raw), *map(len, texts)], np.int64)
+            yield rows(1, chunk, bucket=[TEXTS], data=[np.int64(len(texts)).tobytes() + sizes.tobytes() + pa.compress(raw, "zstd", asbytes=True)])
 
     return run
 
 
-def _summed(n_all: int, kinds: int):
-    """The texts of one chunk with their base scores."""
-    rest = n_all + 0.5 * (kinds + 1)
+def _texts(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n + 1, 8)
+    raw = pa.decompress(data[8 * (n + 2) :], decompressed_size=int(sizes[0]), codec="zstd", asbytes=True) if sizes[0] else b""
+    ends = np.cumsum(sizes[1:])
+    return [raw[a:b] for a, b in zip((ends - sizes[1:]).tolist(), ends.tolist(), strict=True)]
+
+
+def _judged(model, order: int):
+    """The probabilities of a bucket's codes, for each chunk in the order of its own codes."""
 
     def run(rows: pa.Table) -> pa.Table:
-        c = rows["c"].fill_null(0).to_numpy().astype(np.float64)
-        (head,) = np.flatnonzero(rows["ids"].is_valid().to_numpy())  # a chunk has one row of its texts
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for data in rows["data"]:
+            parts.append(_unsqueezed(data.as_py()))
+            if sum(len(c) for c, _ in parts) > HELD_CODES:
+                parts = _summed_codes(parts)
+        code, n = _summed_codes(parts)[0]
+        logs = log_probabilities(code, n, model.value, order).astype(np.float32)
+        found = [logs[np.searchsorted(code, _unsqueezed(data.as_py())[0])].tobytes() for data in rows["data"]]
+        return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "data": pa.array(found, pa.binary())})
+
+    return run
+
+
+def _summed(n_all: int, kinds: int, order: int):
+    """The texts of one chunk with their scores."""
+    rest = n_all + 0.5 * (kinds + 1)
+
+    def run(words: pa.Table, rows: pa.Table) -> pa.Table:
+        (head,) = np.flatnonzero(words["ids"].is_valid().to_numpy())  # a chunk has one row of its texts
         head = int(head)
-        ids, lengths, scores = (np.frombuffer(rows[x][head].as_py(), t) for x, t in (("ids", np.int64), ("lengths", np.int64), ("scores", np.float64)))
-        masked = np.frombuffer(rows["spots"][head].as_py(), bool)
-        end = c[head]
-        base = np.full(len(ids), np.log10((end + 0.5) / rest))
-        known = np.full(len(ids), int(end > 0))
-        for chunk in rows.select(["spots", "c", "ids"]).to_batches():
-            spots, got, is_head = chunk.column(0), chunk.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), chunk.column(2).is_valid().to_numpy(zero_copy_only=False)
-            spots = spots.filter(pa.array(~is_head))
-            got = got[~is_head]
-            if not len(spots):
-                continue
-            offsets = np.frombuffer(spots.buffers()[1], np.int32, len(spots) + 1, spots.offset * 4)
-            doc = np.frombuffer(spots.buffers()[2], np.uint16, (offsets[-1] - offsets[0]) // 2, int(offsets[0]))
-            logs = np.repeat(np.log10((got + 0.5) / rest), np.diff(offsets) // 2)
-            base += np.bincount(doc, weights=logs, minlength=len(ids))
-            known += np.bincount(doc, minlength=len(ids))
-        base += (lengths - known - (end == 0)) * np.log10(0.5 / rest)
-        return pa.table({"doc_id": pa.array(ids, mask=masked), "held_out": [held_out(None if m else int(i)) for i, m in zip(ids, masked, strict=True)], "n_tokens": lengths, "n_known": known.astype(np.int64), "train_tokens": np.full(len(ids), n_all, np.int64), "base_score": base, "score": scores})
+        ids, masked = np.frombuffer(words["ids"][head].as_py(), np.int64), np.frombuffer(words["masked"][head].as_py(), bool)
+        c = words["c"].fill_null(0).to_numpy().astype(np.float64)
+        bucket = rows["bucket"].to_numpy()
+        (at,) = np.flatnonzero(bucket == TEXTS)
+        texts = _texts(rows["data"][int(at)].as_py())
+        index: dict[bytes, int] = {}
+        found, lengths = [], []
+        for t in texts:
+            w = t.lower().split()
+            lengths.append(len(w) + 1)
+            found.append(np.fromiter((index.setdefault(x, len(index)) for x in w), np.int32, len(w)))
+        tokens, doc = np.concatenate(found), np.repeat(np.arange(len(texts)), np.array(lengths) - 1)
+        counts = np.zeros(len(index))
+        number = words["number"].fill_null(-1).to_numpy()
+        counts[number[number >= 0]] = c[number >= 0]
+        base = np.log10((c[head] + 0.5) / rest) + np.bincount(doc, weights=np.log10((counts + 0.5) / rest)[tokens], minlength=len(texts))
+        known = int(c[head] > 0) + np.bincount(doc, weights=counts[tokens] > 0, minlength=len(texts)).astype(np.int64)
+        code = np.unique(np.concatenate([np.unique(long_codes(some, order)[0]) for some in _slices(texts)]))
+        logs = np.empty(len(code))
+        by_bucket = [np.frombuffer(rows["data"][int(k)].as_py(), np.float32) for k in np.argsort(bucket) if bucket[k] != TEXTS]
+        logs[np.argsort(_bucket(code, order), kind="stable")] = np.concatenate(by_bucket)
+        scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(code, own)], starts) for some in _slices(texts) for own, starts in [long_codes(some, order)]])
+        return pa.table({"doc_id": pa.array(ids, mask=masked), "held_out": [held_out(None if m else int(i)) for i, m in zip(ids, masked, strict=True)], "n_tokens": np.array(lengths, np.int64), "n_known": known, "train_tokens": np.full(len(ids), n_all, np.int64), "base_score": base, "score": scores})
 
     return run
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def scored(docs: DataFrame, order: int = LOW) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; contexts of up
+    to `order` bytes, 2 to 6."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = spark.sparkContext.broadcast(trained(texts))
-    found = written(texts.mapInArrow(_postings(model), f"chunk long, {FIELDS}"), "postings")
-    counts = written(found.groupBy("token").agg(F.sum("n_train").alias("c")).where("c > 0"), "counts")
+    found = written(texts.mapInArrow(_postings(order), f"chunk long, {FIELDS}"), "postings")
+    counts = written(found.where("token is not null").groupBy("token").agg(F.sum("n_train").alias("c")).where("c > 0"), "counts")
     n_all, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    back = found.join(counts, "token", "left").where("c is not null or ids is not null").select("chunk", "spots", "ids", "lengths", "scores", "c")
-    return back.groupBy("chunk").applyInArrow(_summed(n_all, kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    back = found.where("token is not null").join(counts, "token", "left").where("c is not null or ids is not null").select("chunk", "number", "masked", "ids", "c")
+    rows = found.where("bucket is not null").select("chunk", "bucket", "data")
+    judged = written(rows.where(F.col("bucket") != TEXTS).groupBy("bucket").applyInArrow(_judged(model, order), rows.schema), "logs")
+    both = judged.unionByName(rows.where(F.col("bucket") == TEXTS))
+    return back.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_summed(n_all, kinds, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

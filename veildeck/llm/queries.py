@@ -10,6 +10,8 @@ from .common import table
 
 # The rules of op2.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+# The longest context of op3, in bytes.
+LM_ORDER = 4
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,7 +31,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.scored(table(spark, sf_dir, "documents"))
+    return ppm.scored(table(spark, sf_dir, "documents"), LM_ORDER)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
