@@ -273,6 +273,48 @@ def test_repeats(docs, rows, window, edge):
     assert keyed(map(tuple, debruijn.without_repeats(docs, window, edge).collect())) == keyed(want)
 
 
+def plain_removed(rows, window=35):
+    starts = Counter(tuple(w[k : k + window]) for _, t in rows for w in [ws(t)] for k in range(len(w) - window + 1))
+    out = []
+    for i, t in rows:
+        w = ws(t)
+        gone = {p for k in range(len(w) - window + 1) if starts[tuple(w[k : k + window])] > 1 for p in range(k, k + window)}
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    return out
+
+
+def test_repeats_under_one_id(spark):
+    """Texts that share an id, or have none, are told apart however many they are."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    passage = rng.choices(words, k=60)
+    rows = [(None, " ".join(rng.choices(words, k=80) if k % 3 else [*rng.choices(words, k=10), *passage, *rng.choices(words, k=10)])) for k in range(1000)]
+    rows += [(7, " ".join(rng.choices(words, k=80))) for _ in range(300)] + rows[:5]
+    got = debruijn.without_repeats(frame(spark, rows)).drop("kept_text")
+    assert keyed(map(tuple, got.collect())) == keyed(plain_removed(rows))
+
+
+def test_paths_are_compacted(spark):
+    """A chain, a branch, a node whose predecessor has two successors, and a node alone."""
+    low = lambda x: None if x is None else (x & 0xFFFFFFFF) - (1 << 32 if x & 0x80000000 else 0)
+    big = 0x7FFF00008000 << 8
+    nodes = [(big + k, big + k - 1 if k else None, low(big + k + 1) if k < 99 else None) for k in range(100)] + [(1, None, None), (2, 1, 3), (3, 2, None), (4, 1, None), (9, None, None)]
+    got = dict(map(tuple, debruijn.path_heads(spark.createDataFrame(nodes, "node long, before long, after int")).collect()))
+    assert got == {big + k: big for k in range(100)} | {1: 1, 2: 2, 3: 2, 4: 4, 9: 9}
+
+
+def test_what_differs_from_its_digest_stays():
+    """Runs listed for a row hash that two texts share are taken from the right one alone."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))]
+    one = int.from_bytes(debruijn.Normal(texts[0].encode().split()).digest(2, 40)[:8], "little", signed=True)
+    runs = [[{"start": 2, "windows": 4, "one": one}]] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array(texts), pa.array(runs)], ["doc_id", "text", "runs"])
+    (out,) = debruijn._removed(35)(iter([batch]))
+    assert out.column(2).to_pylist() == [38, 0]
+
+
 def test_repeats_in_sections_and_no_rows(monkeypatch, spark, rows, nothing):
     w = [f"w{k % 700}" for k in range(2000)]
     one = debruijn.without_repeats(frame(spark, [(1, " ".join(w))])).first()

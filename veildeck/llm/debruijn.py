@@ -2,19 +2,26 @@
 
 A window is `window` consecutive words; it is repeated if its word sequence starts anywhere else too.
 The edges of the graph are word k-mers. Of each window's k-mers one, the minimizer, stands for it, so
-that an occurrence of an edge owns a run of successive windows: the nonbranching path around it,
-compacted on the spot into one hash (a stretch) with its source coordinates. Joins then decide:
+that an occurrence of an edge owns a run of successive windows: a stretch, known by one hash of its words,
+with its source coordinates and the stretches before and after it. Spark joins and aggregates do the rest:
 
 1. an edge that occurs once owns no repeated window;
-2. a stretch that occurs twice or more is a repeated path: all its windows are repeated;
-3. an edge at which different stretches meet is a branch: the paths part somewhere within them. One
-   source of each stretch is read again and its windows are compared one by one.
+2. a stretch that occurs twice or more is a node of the repeated graph, all its windows are repeated. Its
+   in-degree is the number of stretches that come before it, a document's start among them, its out-degree
+   likewise. Where a node has one successor, which has it as its one predecessor, the path doesn't branch.
+   Such paths are compacted by pointer doubling: each round joins the nodes with their predecessors'
+   pointers, until every node knows its path's head. A path then has one row for each of its occurrences;
+3. an edge at which different stretches meet is a branch: their words part somewhere within them. One
+   source of each is read again and its windows are compared one by one, by 128-bit digests;
+4. one source of each path is read again at its coordinates for a digest of its words; whatever is to be
+   removed from a text is compared there with that digest first, and stays if it differs.
 
 So rows are per edge occurrence (2 in 25 words), not per word, and copies of one text meet only in
-counts. Hashes have 64 bits and are compared only under an equal 64-bit edge.
+counts. A row is known by a 64-bit hash of its id and text, which the digests of step 4 confirm.
 
 Cases: a null, empty or short text has no window; a row that repeats another one, id included, counts as
-another document; a doc_id may be null; an empty table gives an empty result; other columns are ignored.
+another document; a doc_id may be null or stand for several texts; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,13 +117,8 @@ def stretches(hashes: np.ndarray, doc: np.ndarray, window: int, edge: int) -> tu
     return edges[own[new]], roll.of(first, last + window), first, last - first + 1
 
 
-def _tag(text: bytes) -> int:
-    """16 bits that tell apart texts under one id."""
-    return xxhash.xxh3_64_intdigest(text) & 0xFFFF
-
-
 def _blocks(rows: Iterator[tuple], cache: _WordHashes, window: int) -> Iterator[tuple]:
-    """hashes, doc, and per doc: its row, the place of its first word here and in its text."""
+    """hashes, doc, and per doc: its row hash, the place of its first word here and in its text."""
     hashes: list[int] = []
     lengths: list[int] = []
     parts: list[tuple] = []
@@ -142,67 +144,136 @@ def _edge_rows(window: int, edge: int):
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                     text = t.as_py()
                     if text and len(w := text.split()) >= window:
-                        yield (i, _tag(text)), w
+                        yield i, w
 
         for hashes, doc, parts in _blocks(rows(), cache, window):
             edges, whole, first, count = stretches(hashes, doc, window, edge)
             d = doc[first]
-            ids = pa.array([p[0][0] for p in parts], pa.int64()).take(pa.array(d))
-            tags, here, start = (np.array(x, np.int64)[d] for x in ([p[0][1] for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
-            at = (first - here + start) << 24 | count << 16 | tags
-            yield pa.RecordBatch.from_arrays([pa.array(edges.view(np.int64)), pa.array(whole.view(np.int64)), ids, pa.array(at)], ["edge", "stretch", "doc_id", "at"])
+            ids = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(d))
+            here, start = (np.array(x, np.int64)[d] for x in ([p[1] for p in parts], [p[2] for p in parts]))
+            path = whole.view(np.int64)
+            follows = np.r_[False, d[1:] == d[:-1]][: len(d)]
+            before = pa.array(np.r_[0, path[:-1]][: len(d)], pa.int64(), mask=~follows)
+            after = pa.array(np.r_[path[1:], 0][: len(d)].astype(np.int32), pa.int32(), mask=~np.r_[follows[1:], False][: len(d)])
+            yield pa.RecordBatch.from_arrays([pa.array(edges.view(np.int64)), pa.array(path), ids, pa.array(_spot(first - here + start, count)), before, after], FOUND_NAMES)
 
     return run
 
 
-def _branch_rows(window: int):
-    """Single windows of the stretches listed with each text."""
+FOUND = "edge long, stretch long, row long, at long, before long, after int"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+#: A place is a first window and a number of windows: those of one stretch are fewer than 256.
+COUNT_BITS = 8
+
+
+def _spot(start, count):
+    return start << COUNT_BITS | count
+
+
+class Normal:
+    """A text's words with a space between, and the digests of ranges of them."""
+
+    def __init__(self, words: list[bytes]):
+        self.text = b" ".join(words)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
+
+    def digest(self, start: int, end: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.text[self.ends[start - 1] if start else 0 : self.ends[end - 1] - 1])
+
+
+def _read_rows(window: int):
+    """Of the sources listed with each text: a path's digest, and the windows of a branch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            edges, digests, ids, ats, many, heads = [], [], [], [], [], []
             for i, t, spots in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
-                text = t.as_py() or b""
-                w, tag = text.split(), _tag(text)
+                w = (t.as_py() or b"").split()
+                normal = Normal(w)
                 for s in spots:
-                    start, count = s["at"] >> 24, s["at"] >> 16 & 0xFF
-                    if s["at"] & 0xFFFF != tag or start + count + window - 1 > len(w):
+                    start, count = s["start"], s["windows"]
+                    end = start + count + window - 1
+                    if end > len(w):
+                        continue  # of another text with the same row hash
+                    if s["head"] is not None:
+                        own = normal.digest(start, end)
+                        for column, x in zip((edges, digests, ids, ats, many, heads), (None, own, i, start, False, s["head"]), strict=True):
+                            column.append(x)
+                        continue
+                    roll = Rolling(np.array([cache[x] for x in w[start:end]], np.uint64))
+                    if int(roll.of(np.array([0]), np.array([end - start])).view(np.int64)[0]) != s["stretch"]:
                         continue
-                    roll = Rolling(np.array([cache[x] for x in w[start : start + count + window - 1]], np.uint64))
-                    out[0] += [s["edge"]] * count
-                    out[1].append(roll.each(window).view(np.int64))
-                    out[2] += [i] * count
-                    out[3] += [(start + j) << 24 | 1 << 16 | tag for j in range(count)]
-                    out[4] += [s["many"]] * count
-            whole = np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(whole), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_())], ["edge", "whole", "doc_id", "at", "many"])
+                    edges += [s["edge"]] * count
+                    digests += [normal.digest(k, k + window) for k in range(start, start + count)]
+                    ids += [i] * count
+                    ats += range(start, start + count)
+                    many += [s["many"]] * count
+                    heads += [None] * count
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(edges, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(many, pa.bool_()), pa.array(heads, pa.int64())], READ_NAMES)
 
     return run
 
 
+READ = "edge long, one long, two long, row long, start long, many boolean, head long"
+READ_NAMES = [x.split()[0] for x in READ.split(", ")]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (a hash of id and text), doc_id and text."""
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def path_heads(nodes: DataFrame) -> DataFrame:
+    """node and head for the rows node, before (its one predecessor, or null), after (the low 32 bits of its
+    one successor, or null): the first node of its nonbranching path. Pointer doubling, a written table a round."""
+    up = nodes.select(F.col("node").alias("u"), F.col("after").alias("u_after"))
+    low = F.col("node").bitwiseAND(0xFFFFFFFF)
+    straight = nodes.join(up, (F.col("before") == F.col("u")) & (F.col("u_after").cast("long").bitwiseAND(0xFFFFFFFF) == low), "left")
+    now = written(straight.select("node", F.coalesce("u", "node").alias("head"), F.col("u").isNull().alias("done")), "paths")
+    for _ in range(64):
+        if now.where("not done").isEmpty():
+            return now.select("node", "head")
+        there = now.select(F.col("node").alias("u"), F.col("head").alias("u_head"), F.col("done").alias("u_done"))
+        moved = now.where("not done").join(there, F.col("head") == F.col("u")).select("node", F.col("u_head").alias("head"), F.col("u_done").alias("done"))
+        after = written(now.where("done").unionByName(moved), "paths")
+        drop(now)
+        now = after
+    raise RuntimeError("a path of the graph has no head")
+
+
 def repeated(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFrame:
-    """doc_id and at: runs of repeated windows, packed as first window, number of windows and text tag."""
+    """row, start, windows and one (half a digest of the words): runs of repeated windows."""
     if not 1 <= edge <= window or window - edge >= 255:
         raise ValueError("an edge is at most as long as a window, and not over 254 words shorter")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(texts.mapInArrow(_edge_rows(window, edge), "edge long, stretch long, doc_id long, at long"), "edges")
+    texts = _rows(docs)
+    found = written(texts.select("row", "text").mapInArrow(_edge_rows(window, edge), FOUND), "edges")
     # What is joined is written first: both sides then come straight from an exchange, and Spark can split
     # the rows of a very common edge.
     twice = written(found.groupBy("edge").count().where("count > 1").select("edge"), "twice")
     shared = written(found.join(twice, "edge", "left_semi"), "shared")
     drop(found, twice)
-    kinds = written(shared.groupBy("edge", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("source")), "stretches")
-    paths = shared.join(kinds.where("n > 1").select("edge", "stretch"), ["edge", "stretch"], "left_semi").select("doc_id", "at")
-    branches = kinds.groupBy("edge").agg(F.min("n").alias("least"), F.count("*").alias("ways")).where("ways > 1 and least = 1").select("edge")
-    spots = kinds.join(branches, "edge", "left_semi").select(F.col("source.doc_id").alias("spot_id"), F.struct(F.col("source.at").alias("at"), "edge", (F.col("n") > 1).alias("many")).alias("spot"))
-    spots = spots.groupBy("spot_id").agg(F.collect_set("spot").alias("spots")).hint("shuffle_hash")
-    read = texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_id"))).select("doc_id", "text", "spots")
-    single = written(read.mapInArrow(_branch_rows(window), "edge long, whole long, doc_id long, at long, many boolean"), "windows")
-    met = written(single.groupBy("edge", "whole").agg((F.count("*") + F.sum(F.col("many").cast("int"))).alias("n")).where("n > 1").select("edge", "whole"), "met")
-    parts = single.where("not many").join(met, ["edge", "whole"], "left_semi").select("doc_id", "at")
-    out = written(paths.unionByName(parts), "repeated")
-    drop(shared, kinds, single, met)
+    one = lambda x: F.when((F.min(x) == F.max(x)) & (F.count(x) == F.count("*")), F.min(x)).alias(x)
+    kinds = written(shared.groupBy("edge", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("source"), one("before"), one("after")), "stretches")
+    start, count = F.shiftright("source.at", COUNT_BITS), F.col("source.at").bitwiseAND((1 << COUNT_BITS) - 1)
+    nodes = written(kinds.where("n > 1").select(F.col("stretch").alias("node"), "before", "after", F.col("source.row").alias("row"), start.alias("start"), count.alias("windows")), "nodes")
+    heads = path_heads(nodes.select("node", "before", "after"))
+    lengths = heads.join(nodes.select("node", "windows"), "node").groupBy("head").agg(F.sum("windows").alias("windows"))
+    paths = nodes.select(F.col("node").alias("head"), "row", "start").join(lengths, "head")
+    branches = written(kinds.groupBy("edge").agg(F.min("n").alias("least"), F.count("*").alias("ways")).where("ways > 1 and least = 1").select("edge"), "branches")
+    none = F.lit(None).cast("long")
+    parted = kinds.join(branches, "edge", "left_semi").select(F.col("source.row").alias("row"), F.struct(start.alias("start"), count.alias("windows"), none.alias("head"), "edge", "stretch", (F.col("n") > 1).alias("many")).alias("spot"))
+    straight = paths.select("row", F.struct("start", "windows", "head", none.alias("edge"), none.alias("stretch"), F.lit(False).alias("many")).alias("spot"))
+    spots = written(parted.unionByName(straight), "spots").groupBy(F.col("row").alias("spot_row")).agg(F.collect_set("spot").alias("spots")).hint("shuffle_hash")
+    read = written(texts.join(spots, F.col("row") == F.col("spot_row")).select("row", "text", "spots").mapInArrow(_read_rows(window), READ), "windows")
+    confirmed = written(read.where("head is not null").groupBy("head").agg(F.min("one").alias("one")).join(lengths, "head"), "confirmed")
+    whole = shared.join(confirmed, F.col("stretch") == F.col("head")).select("row", F.shiftright("at", COUNT_BITS).alias("start"), "windows", "one")
+    single = read.where("head is null")
+    met = written(single.groupBy("edge", "one", "two").agg((F.count("*") + F.sum(F.col("many").cast("int"))).alias("n")).where("n > 1").select("edge", "one", "two"), "met")
+    parts = single.where("not many").join(met, ["edge", "one", "two"], "left_semi").select("row", "start", F.lit(1).cast("long").alias("windows"), "one")
+    out = written(whole.unionByName(parts), "repeated")
+    drop(shared, kinds, nodes, heads, branches, read, confirmed, met)
     return out
 
 
@@ -210,18 +281,17 @@ def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, gone, digests, kept_texts = [], [], [], []
-            for t, ats in zip(b.column(1).cast(pa.binary()), b.column(2), strict=True):
-                text = t.as_py() or b""
-                w, tag = text.split(), _tag(text)
+            for t, runs in zip(b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
+                w = (t.as_py() or b"").split()
                 kept = w
-                if ats.is_valid:
-                    x = ats.values.to_numpy()
-                    x = x[(x & 0xFFFF) == tag]
-                    start, end = x >> 24, (x >> 24) + (x >> 16 & 0xFF) + window - 1
-                    ok = end <= len(w)
+                if runs:
+                    normal = Normal(w)
                     turns = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(turns, start[ok], 1)
-                    np.add.at(turns, end[ok], -1)
+                    for r in runs:
+                        start, end = r["start"], r["start"] + r["windows"] + window - 1
+                        if end <= len(w) and int.from_bytes(normal.digest(start, end)[:8], "little", signed=True) == r["one"]:
+                            turns[start] += 1
+                            turns[end] -= 1
                     keep = np.cumsum(turns[:-1]) == 0
                     kept = [w[i] for i in np.flatnonzero(keep)]
                 joined = b" ".join(kept)
@@ -236,7 +306,6 @@ def _removed(window: int):
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (the kept words, a space between) of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = repeated(docs, window, edge).groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_set("at").alias("runs")).hint("shuffle_hash")
-    both = texts.join(runs, F.col("doc_id").eqNullSafe(F.col("run_id")), "left").select("doc_id", "text", "runs")
+    runs = repeated(docs, window, edge).groupBy(F.col("row").alias("run_row")).agg(F.collect_set(F.struct("start", "windows", "one")).alias("runs")).hint("shuffle_hash")
+    both = _rows(docs).join(runs, F.col("row") == F.col("run_row"), "left").select("doc_id", "text", "runs")
     return both.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
