@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared checkpoint folder; a local one only where none is configured."""
+    """A new path in the shared checkpoint folder. Where none is configured a local master gets a temporary
+    one; a cluster, whose executors would not see it, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veildeck-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/veildeck-{tag}-{uuid.uuid4().hex}"
@@ -38,6 +41,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, tag: str, column: str) -> tuple[DataFrame, str]:
+    """df written with a folder for each value of a column, and the path; drop_part deletes one of them."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    df.write.partitionBy(column).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_part(spark: SparkSession, path: str, column: str, value: int) -> None:
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+    part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes written() tables that no later stage reads."""
     for df in tables:

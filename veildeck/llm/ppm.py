@@ -15,7 +15,8 @@ each context's probabilities sum to 1.
 
 The base score needs counts of all words of the corpus, which have no bound. Texts are read in chunks;
 a chunk sends each of its distinct words once, with its number in the chunk, to be joined with the word's
-count. Both sums are taken where a chunk's texts, its words' counts and its codes' probabilities meet.
+count. The end mark, which all texts have, is only counted. Both sums are taken where a chunk's texts, its
+words' counts and its codes' probabilities meet.
 
 Cases: a null or empty text has one token, the end; with no training text N and V are 0; rows may repeat
 and keep their own scores; an empty table gives an empty result; other columns are ignored.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt, drop_part, written
 
 #: Never part of UTF-8, so it stands for the ends of a text.
 END = 0xFF
@@ -241,21 +242,20 @@ def _distinct(texts: list[bytes], train: list[bool], order: int) -> tuple[np.nda
     return _summed_codes(parts)[0]
 
 
-FIELDS = "token binary, number int, n_train long, masked binary, ids binary, bucket int, data binary"
-#: The bucket of the row that holds a chunk's texts.
-TEXTS = -1
+#: A chunk's rows by kind: its distinct words, its distinct codes by bucket, its texts.
+WORDS, CODES, TEXTS = range(3)
+FIELDS = "kind int, chunk long, token binary, number int, n_train long, masked binary, ids binary, bucket int, data binary"
 
 
 def _postings(order: int):
-    """Per chunk: its distinct words, one row of the texts' ids with the end mark's token, its distinct codes
-    by bucket, and one row of the texts themselves."""
-    names = ["chunk", *(f.split()[0] for f in FIELDS.split(", "))]
+    """Per chunk: its distinct words and the end mark, its distinct codes by bucket, and one row of its texts
+    and their ids."""
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([("chunk", pa.int64()), *((f.split()[0], types[f.split()[1]]) for f in FIELDS.split(", "))])
+    schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in FIELDS.split(", ")])
 
-    def rows(n: int, chunk: int, **columns) -> pa.RecordBatch:
-        columns["chunk"] = np.full(n, chunk)
-        return pa.RecordBatch.from_arrays([pa.array(columns[x], schema.field(x).type) if x in columns else pa.nulls(n, schema.field(x).type) for x in names], schema=schema)
+    def rows(n: int, kind: int, chunk: int, **columns) -> pa.RecordBatch:
+        columns |= {"kind": np.full(n, kind, np.int32), "chunk": np.full(n, chunk)}
+        return pa.RecordBatch.from_arrays([pa.array(columns[x], schema.field(x).type) if x in columns else pa.nulls(n, schema.field(x).type) for x in schema.names], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
@@ -270,20 +270,21 @@ def _postings(order: int):
             words, n = list(index), np.fromiter((n_train[k] for k in range(len(index))), np.int64, len(index))
             for k in range(0, len(words), 1 << 16):
                 m = len(words[k : k + (1 << 16)])
-                yield rows(m, chunk, token=words[k : k + m], number=np.arange(k, k + m, dtype=np.int32), n_train=n[k : k + m])
-            masked = np.array([i is None for i in ids])
-            plain = np.array([0 if i is None else i for i in ids], np.int64)
-            yield rows(1, chunk, token=[b""], n_train=[sum(train)], masked=[masked.tobytes()], ids=[plain.tobytes()])
+                yield rows(m, WORDS, chunk, token=words[k : k + m], number=np.arange(k, k + m, dtype=np.int32), n_train=n[k : k + m])
+            yield rows(1, WORDS, chunk, token=[b""], n_train=[sum(train)])
             code, count = _distinct(texts, train, order)
             bucket = _bucket(code, order)
             by = np.argsort(bucket, kind="stable")
             code, count, bucket = code[by], count[by], bucket[by]
             edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             data = [_squeezed(code[i:j], count[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
-            yield rows(len(data), chunk, bucket=bucket[edges[:-1]], data=data)
+            yield rows(len(data), CODES, chunk, bucket=bucket[edges[:-1]], data=data)
+            masked = np.array([i is None for i in ids])
+            plain = np.array([0 if i is None else i for i in ids], np.int64)
             raw = b"".join(texts)
             sizes = np.array([len(raw), *map(len, texts)], np.int64)
-            yield rows(1, chunk, bucket=[TEXTS], data=[np.int64(len(texts)).tobytes() + sizes.tobytes() + pa.compress(raw, "zstd", asbytes=True)])
+            data = np.int64(len(texts)).tobytes() + sizes.tobytes() + pa.compress(raw, "zstd", asbytes=True)
+            yield rows(1, TEXTS, chunk, masked=[masked.tobytes()], ids=[plain.tobytes()], data=[data])
 
     return run
 
@@ -313,18 +314,25 @@ def _judged(model, order: int):
     return run
 
 
-def _summed(n_all: int, kinds: int, order: int):
+def _coded(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each slice of texts its distinct codes, the number of each byte's code among them, and where texts begin."""
+    out = []
+    for some in _slices(texts):
+        own, starts = long_codes(some, order)
+        coded = pa.array(own).dictionary_encode()
+        out.append((coded.dictionary.to_numpy(), coded.indices.to_numpy(), starts))
+    return out
+
+
+def _summed(n_all: int, kinds: int, ends: int, order: int):
     """The texts of one chunk with their scores."""
     rest = n_all + 0.5 * (kinds + 1)
 
     def run(words: pa.Table, rows: pa.Table) -> pa.Table:
-        (head,) = np.flatnonzero(words["ids"].is_valid().to_numpy())  # a chunk has one row of its texts
-        head = int(head)
-        ids, masked = np.frombuffer(words["ids"][head].as_py(), np.int64), np.frombuffer(words["masked"][head].as_py(), bool)
-        c = words["c"].fill_null(0).to_numpy().astype(np.float64)
-        bucket = rows["bucket"].to_numpy()
-        (at,) = np.flatnonzero(bucket == TEXTS)
-        texts = _texts(rows["data"][int(at)].as_py())
+        (at,) = np.flatnonzero(rows["ids"].is_valid().to_numpy())  # a chunk has one row of its texts
+        at = int(at)
+        ids, masked = np.frombuffer(rows["ids"][at].as_py(), np.int64), np.frombuffer(rows["masked"][at].as_py(), bool)
+        texts = _texts(rows["data"][at].as_py())
         index: dict[bytes, int] = {}
         found, lengths = [], []
         for t in texts:
@@ -333,15 +341,16 @@ def _summed(n_all: int, kinds: int, order: int):
             found.append(np.fromiter((index.setdefault(x, len(index)) for x in w), np.int32, len(w)))
         tokens, doc = np.concatenate(found), np.repeat(np.arange(len(texts)), np.array(lengths) - 1)
         counts = np.zeros(len(index))
-        number = words["number"].fill_null(-1).to_numpy()
-        counts[number[number >= 0]] = c[number >= 0]
-        base = np.log10((c[head] + 0.5) / rest) + np.bincount(doc, weights=np.log10((counts + 0.5) / rest)[tokens], minlength=len(texts))
-        known = int(c[head] > 0) + np.bincount(doc, weights=counts[tokens] > 0, minlength=len(texts)).astype(np.int64)
-        code = np.unique(np.concatenate([np.unique(long_codes(some, order)[0]) for some in _slices(texts)]))
+        counts[words["number"].to_numpy()] = words["c"].to_numpy()
+        base = np.log10((ends + 0.5) / rest) + np.bincount(doc, weights=np.log10((counts + 0.5) / rest)[tokens], minlength=len(texts))
+        known = int(ends > 0) + np.bincount(doc, weights=counts[tokens] > 0, minlength=len(texts)).astype(np.int64)
+        coded = _coded(texts, order)
+        code = np.unique(np.concatenate([c for c, _, _ in coded]))
         logs = np.empty(len(code))
-        by_bucket = [np.frombuffer(rows["data"][int(k)].as_py(), np.float32) for k in np.argsort(bucket) if bucket[k] != TEXTS]
+        bucket = rows["bucket"].fill_null(-1).to_numpy()
+        by_bucket = [np.frombuffer(rows["data"][int(k)].as_py(), np.float32) for k in np.argsort(bucket) if bucket[k] >= 0]
         logs[np.argsort(_bucket(code, order), kind="stable")] = np.concatenate(by_bucket)
-        scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(code, own)], starts) for some in _slices(texts) for own, starts in [long_codes(some, order)]])
+        scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(code, c)][place], starts) for c, place, starts in coded])
         return pa.table({"doc_id": pa.array(ids, mask=masked), "held_out": [held_out(None if m else int(i)) for i, m in zip(ids, masked, strict=True)], "n_tokens": np.array(lengths, np.int64), "n_known": known, "train_tokens": np.full(len(ids), n_all, np.int64), "base_score": base, "score": scores})
 
     return run
@@ -351,13 +360,17 @@ def scored(docs: DataFrame, order: int = LOW) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; contexts of up
     to `order` bytes, 2 to 6."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast(trained(texts))
-    found = written(texts.mapInArrow(_postings(order), f"chunk long, {FIELDS}"), "postings")
-    counts = written(found.where("token is not null").groupBy("token").agg(F.sum("n_train").alias("c")).where("c > 0"), "counts")
-    n_all, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    back = found.where("token is not null").join(counts, "token", "left").where("c is not null or ids is not null").select("chunk", "number", "masked", "ids", "c")
-    rows = found.where("bucket is not null").select("chunk", "bucket", "data")
-    judged = written(rows.where(F.col("bucket") != TEXTS).groupBy("bucket").applyInArrow(_judged(model, order), rows.schema), "logs")
-    both = judged.unionByName(rows.where(F.col("bucket") == TEXTS))
-    return back.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_summed(n_all, kinds, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found, path = dealt(texts.mapInArrow(_postings(order), FIELDS), "postings", "kind")
+    words = found.where(F.col("kind") == WORDS)
+    counts = written(words.groupBy("token").agg(F.sum("n_train").alias("c")).where("c > 0"), "counts")
+    n_all, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("token") == 0, F.col("c"))), F.lit(0))).first()
+    # The end mark, which every chunk has, stays out of the join.
+    back = written(words.where("number is not null").select("chunk", "number", "token").join(counts, "token").select("chunk", "number", "c"), "back")
+    drop_part(spark, path, "kind", WORDS)
+    rows = found.select("kind", "chunk", "bucket", "ids", "masked", "data")
+    judged = written(rows.where(F.col("kind") == CODES).select("chunk", "bucket", "data").groupBy("bucket").applyInArrow(_judged(model, order), "chunk long, bucket int, data binary"), "logs")
+    drop_part(spark, path, "kind", CODES)
+    both = judged.unionByName(rows.where(F.col("kind") == TEXTS).drop("kind"), allowMissingColumns=True)
+    return back.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_summed(n_all, kinds, ends, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
