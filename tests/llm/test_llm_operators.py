@@ -401,7 +401,7 @@ def test_simhash_groups(docs, rows, nothing):
     want = [(i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, group, strict=True)]
     got = simhash.near_duplicates(docs).select("doc_id", simhash.hexed(F.col("print")), "component_id")
     assert keyed(map(tuple, got.collect())) == keyed(want)
-    stay = simhash.representatives(docs)
+    stay = simhash.representatives(docs, simhash.NARROW)
     assert stay.columns == docs.columns and stay.count() == len(set(group))
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.representatives(nothing).count() == 0
 
@@ -412,8 +412,39 @@ def test_simhash_links_of_prints(spark):
     prints = {p for x in base for p in [x, *(x ^ sum(1 << b for b in rng.sample(range(64), k)) for k in range(1, 7))]} | {0, 1, (1 << 64) - 1}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     want = {tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 4}
-    got = simhash.links(spark.createDataFrame([(signed(x),) for x in prints] * 2, "print long")).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    for refine in (simhash.REFINE, 0):  # with and without parts of the other segments
+        got = simhash.links(spark.createDataFrame([(signed(x),) for x in prints] * 2, "print long"), refine=refine).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_simhash_links_of_wide_prints(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(128) for _ in range(25)]
+    prints = {p for x in base for p in [x, *(x ^ sum(1 << b for b in rng.sample(range(128), k)) for k in (1, 9, 16, 24, 25, 30))]}
+    split = lambda x: tuple((y - (1 << 64) if y >> 63 else y) for y in (x & (1 << 64) - 1, x >> 64))
+    meets = lambda d: d.bit_count() <= 24 and any((d >> 16 * k & 0xFFFF).bit_count() <= 1 for k in range(8))
+    want = {tuple(sorted((split(a), split(b)))) for a, b in itertools.combinations(prints, 2) if meets(a ^ b)}
+    rows = spark.createDataFrame([(split(x),) for x in prints], "print struct<p0:long,p1:long>")
+    assert {(tuple(r.a), tuple(r.b)) for r in simhash.links(rows, simhash.WIDE).collect()} == want
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    """Pairs of a Jaccard similarity of 0.8 or more are caught, unrelated texts stay."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(2000)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, pairs = [], []
+    for k in range(150):
+        w = rng.choices(words, k=200)
+        v = list(w)
+        for p in rng.sample(range(200), rng.randint(1, 4)):
+            v[p] = rng.choice(words)
+        if len(shingles(w) & shingles(v)) >= 0.8 * len(shingles(w) | shingles(v)):
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows), simhash.WIDE).collect()}
+    assert len(pairs) > 100 and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(found[i] // 2 == i // 2 for i in found)
 
 
 def test_components_of_paths_and_stars(spark):

@@ -1,8 +1,20 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint has 64 bits, cut into three segments. Two fingerprints that differ in at most four bits
-differ in at most one bit of some segment, so they share a variant of it in which one bit is a
-wildcard: 64 variants a fingerprint, joined on equality and verified within the join.
+A fingerprint is cut into few segments. Of two fingerprints that are near, some segment differs by at most
+one bit. A segment's exact value is one key; its value with one bit as a wildcard is another, a key for each
+bit, and stands on the left side if that bit is 0, on the right if it is 1. Left and right are joined on equal
+keys, so that a pair meets where a segment is equal or differs in exactly one bit, and both whole
+fingerprints are verified within the join. There are two shapes:
+
+* NARROW: 64 bits of four-word shingles, repeats included, in three segments. Four or five differing bits
+  leave one bit at most to some segment, so no link is lost.
+* WIDE: 128 bits of the set of five-word shingles, in eight segments of 16 bits, linked at 24 differing bits
+  or fewer. Two sets with a Jaccard similarity of 0.8 have vectors 0.475 radians apart, so that a bit
+  differs with probability 0.151: 19.4 of 128 bits, with a standard deviation of 4. The bound allows one
+  deviation more, and 0.93 of such pairs have a segment that differs by one bit at most.
+
+Beyond `REFINE` distinct fingerprints the narrow shape's keys take exact parts of the other segments as well,
+one more part than bits may differ there, so that some part is equal and buckets stay small.
 
 The join runs over distinct fingerprints, so exact copies cost one row however many they are. Groups
 are found by alternating star contractions over the links, each round a written table.
@@ -15,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,67 +37,131 @@ from pyspark.sql import functions as F
 
 from .common import drop, written
 
-#: First bit and width of each segment.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
-MAX_BITS = 4
-SHINGLE = 4
-SEED = 42
-
-
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one UTF-8 text."""
-    w = text.lower().split() if text else []
-    if not w:
-        return 0
-    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) > shingle else [b" ".join(w)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):  # the bits of a long text are not all held at once
-        part = h[i : i + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
+class Shape(NamedTuple):
+    """Words in a shingle, 64-bit words of a fingerprint, first bit and width of each segment of such a word,
+    and the most differing bits of a link."""
 
-def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(1).cast(pa.binary())), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints.view(np.int64))], ["doc_id", "tag", "print"])
+    shingle: int
+    words: int
+    segments: tuple[tuple[int, int], ...]
+    max_bits: int
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (a hash of the text) and print, the fingerprint as a signed long, of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
-    return texts.mapInArrow(_print_batches, "doc_id long, tag long, print long")
-
-
-def _variants(x: Column) -> Column:
-    """One key for each bit: that bit's segment with the bit cleared, and which bit it is."""
-    keys = []
-    for low, width in SEGMENTS:
-        seg = F.shiftrightunsigned(x, low).bitwiseAND((1 << width) - 1)
-        keys += [seg.bitwiseAND(~(1 << j)).bitwiseOR((low + j) << 32) for j in range(width)]
-    return F.array(*keys)
+NARROW = Shape(4, 1, ((0, 21), (21, 21), (42, 22)), 4)
+WIDE = Shape(5, 2, tuple((16 * k, 16) for k in range(4)), 24)
+SEED = 42
+#: Distinct fingerprints from which on keys take parts of the other segments too: a hundred in a bucket.
+REFINE = 100 << 20
+#: Bits of a key below its segment's value: those of a part, and of the part's number.
+PART_BITS, NUMBER_BITS = 12, 3
+#: Bytes of keys, about, that one task makes.
+TASK_BYTES, KEY_BYTES = 32 << 20, 32
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _grams(text: bytes | None, n: int) -> list[bytes]:
+    w = text.lower().split() if text else []
+    return list(map(b" ".join, zip(*(w[i:] for i in range(n)), strict=False))) if len(w) > n else [b" ".join(w)] if w else []
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column print) that differ in at most max_bits bits."""
-    if not 0 <= max_bits <= 2 * len(SEGMENTS) - 1:
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Of hashes, a row of bytes each, the bits that over half of them set, as unsigned words."""
+    ones = np.zeros(8 * h.shape[1], np.int64)
+    for i in range(0, len(h), 1 << 16):  # the bits of a long text are not all held at once
+        ones += np.unpackbits(h[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = NARROW.shingle) -> int:
+    """The unsigned narrow fingerprint of one UTF-8 text."""
+    grams = _grams(text, shingle)
+    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64, len(grams))
+    return int(_majority(h.view(np.uint8).reshape(-1, 8))[0])
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = WIDE.shingle) -> np.ndarray:
+    """The two words of the wide one."""
+    h = b"".join(map(partial(xxhash.xxh3_128_digest, seed=SEED), set(_grams(text, shingle))))
+    return _majority(np.frombuffer(h, np.uint8).reshape(-1, 16))
+
+
+def fingerprints(docs: DataFrame, shape: Shape = NARROW) -> DataFrame:
+    """doc_id, tag (a hash of the text) and print of every row: a signed long, or a struct of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = (t.as_py() for t in b.column(1).cast(pa.binary()))
+            if shape.words == 1:
+                prints = pa.array(np.fromiter((fingerprint(t, shape.shingle) for t in texts), np.uint64, b.num_rows).view(np.int64))
+            else:
+                both = np.array([wide_fingerprint(t, shape.shingle) for t in texts], np.uint64).reshape(-1, shape.words).view(np.int64)
+                prints = pa.StructArray.from_arrays([pa.array(both[:, k]) for k in range(shape.words)], [f"p{k}" for k in range(shape.words)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), prints], ["doc_id", "tag", "print"])
+
+    kind = "long" if shape.words == 1 else "struct<" + ",".join(f"p{k}:long" for k in range(shape.words)) + ">"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
+    return texts.mapInArrow(run, f"doc_id long, tag long, print {kind}")
+
+
+def _words_of(x: Column, shape: Shape) -> list[Column]:
+    return [x] if shape.words == 1 else [x[f"p{k}"] for k in range(shape.words)]
+
+
+def _keyed(prints: DataFrame, shape: Shape) -> DataFrame:
+    """print, key and side: of each segment its exact value (side 2) and one key for each bit (side: the bit)."""
+    segments, code = [], 0
+    for word in _words_of(F.col("print"), shape):
+        for low, width in shape.segments:
+            seg = F.shiftrightunsigned(word, low).bitwiseAND((1 << width) - 1)
+            segments.append(F.struct(seg.alias("value"), F.lit(width).alias("width"), F.lit(code + 1).alias("code")))
+            code += width + 1
+    cut = prints.select("print", F.explode(F.array(*segments)).alias("seg")).select("print", "seg.*")
+    each = cut.select("print", "value", "code", F.explode(F.sequence(F.lit(-1), F.col("width") - 1)).alias("bit"))
+    one = F.expr("if(bit < 0, 0L, shiftleft(1L, bit))")
+    value = F.col("value").bitwiseAND(F.bitwise_not(one))
+    key = F.shiftleft(value, NUMBER_BITS + PART_BITS).bitwiseOR(F.shiftleft((F.col("code") + F.col("bit")).cast("long"), NUMBER_BITS + PART_BITS + 32))
+    side = F.when(F.col("bit") < 0, 2).otherwise((F.col("value") != value).cast("int"))
+    return each.select("print", key.alias("key"), side.alias("side"))
+
+
+def _refined(keyed: DataFrame, shape: Shape) -> DataFrame:
+    """Keys with one exact part of the other segments: of exact keys max_bits + 1 parts, of others one fewer."""
+    code, print_ = F.shiftrightunsigned("key", NUMBER_BITS + PART_BITS + 32), F.col("print")
+    rest, first = F.lit(0).cast("long"), 0
+    for low, width in shape.segments:
+        others = F.shiftleft(F.shiftrightunsigned(print_, low + width), low) if low + width < 64 else F.lit(0).cast("long")
+        others = others.bitwiseOR(print_.bitwiseAND((1 << low) - 1))
+        rest = F.when(code.between(first, first + width), others).otherwise(rest)
+        first += width + 1
+
+    def parts(n: int) -> Column:
+        size = -(-(64 - min(w for _, w in shape.segments)) // n)
+        return F.array(*[F.shiftrightunsigned("rest", size * k).bitwiseAND((1 << size) - 1).bitwiseOR(k << PART_BITS) for k in range(n)])
+
+    exact = F.col("side") == 2
+    made = keyed.withColumn("rest", rest).withColumn("part", F.explode(F.when(exact, parts(shape.max_bits + 1)).otherwise(parts(max(1, shape.max_bits)))))
+    return made.select("print", F.col("key").bitwiseOR(F.col("part")).alias("key"), "side")
+
+
+def links(prints: DataFrame, shape: Shape = NARROW, refine: int = REFINE) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column print) that differ in at most shape.max_bits bits."""
+    if shape.words == 1 and not 0 <= shape.max_bits <= 2 * len(shape.segments) - 1:
         raise ValueError("one of three segments differs by one bit at most only up to five bits")
-    # A number of partitions of our own: each print becomes 64 rows, which Spark's estimate leaves out.
-    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = prints.select("print").distinct().repartition(spread, "print").select("print", F.explode(_variants(F.col("print"))).alias("key"))
-    a, b = (keyed.select(F.col("print").alias(x), F.col("key").alias(f"k{x}")) for x in "ab")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    bit = F.shiftrightunsigned(F.col("ka"), 32)
-    first = F.lit(False)  # equal segments share all their keys, others one: count that one
-    for low, width in SEGMENTS:
-        seg = x.bitwiseAND(_signed(((1 << width) - 1) << low))
-        first |= bit.between(low, low + width - 1) & F.when(seg == 0, bit == low).otherwise(seg == F.expr("shiftleft(1L, int(shiftrightunsigned(ka, 32)))"))
-    return a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & first).select("a", "b").distinct()
+    spark = prints.sparkSession
+    distinct = written(prints.select("print").distinct(), "distinct")
+    n = distinct.count()
+    # A number of partitions of our own: each print becomes a row for each key, which Spark's estimate leaves out.
+    keys = shape.words * (64 + len(shape.segments))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * keys * KEY_BYTES // TASK_BYTES)
+    keyed = _keyed(distinct.repartition(tasks), shape)
+    if shape.words == 1 and n > refine:
+        keyed = _refined(keyed, shape)
+    a = keyed.where("side <> 1").select(F.col("print").alias("a"), "key", F.col("side").alias("left"))
+    b = keyed.where("side <> 0").select(F.col("print").alias("b"), "key")
+    differ = [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(_words_of(F.col("a"), shape), _words_of(F.col("b"), shape), strict=True)]
+    near = sum(differ[1:], differ[0]) <= shape.max_bits
+    met = a.join(b.withColumnRenamed("key", "to"), (F.col("key") == F.col("to")) & ((F.col("left") == 0) | (F.col("a") < F.col("b"))) & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -113,20 +190,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return both.select(F.col("u").alias("node"), F.col("v").alias("root")).union(both.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shape: Shape = NARROW) -> DataFrame:
     """Of every row doc_id, tag (a hash of its text), print, root (its group) and component_id, the smallest
     doc_id of the group (null if no row of it has one)."""
-    prints = written(fingerprints(docs), "prints")
-    roots = components(links(prints, max_bits)).select(F.col("node").alias("print"), "root")
-    least = prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    ids = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "root", "component_id")
+    prints = written(fingerprints(docs, shape), "prints")
+    roots = components(links(prints, shape)).select(F.col("node").alias("print"), "root")
+    least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "least")
+    # Written on its own, so that the rows of a very large group come straight from an exchange and can be split.
+    first = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    ids = written(least.join(first, "root").select("print", "root", "component_id"), "ids")
+    drop(least, first)
     return prints.join(ids, "print").select("doc_id", "tag", "print", "root", "component_id")
 
 
-def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def representatives(docs: DataFrame, shape: Shape = WIDE) -> DataFrame:
     """The rows of docs that stay if one of each group does: that of the smallest doc_id, without an id only
     where no row of the group has one. All columns stay."""
-    found = written(near_duplicates(docs, max_bits), "groups")
+    found = written(near_duplicates(docs, shape), "groups")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
     stay = written(first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.tag").alias("stay_tag")), "stay")
     again = found.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("tag") == F.col("stay_tag"))).count() > stay.count()
