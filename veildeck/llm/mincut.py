@@ -1,10 +1,16 @@
 """Main text of HTML pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text at block-level tags. A linear classifier of a block's own features
-(containers, class names, links, length, punctuation) gives the cost of calling it content and of calling
-it boilerplate; these are the capacities to the two terminals. Smoothness edges join blocks that follow
-each other, the more strongly the nearer their parents are in the DOM tree. The minimum cut is the
-labelling of least total cost.
+A page is cut into blocks of text at block-level tags. A logistic classifier of a block's own features
+(containers, groups of class names, links, length, punctuation) gives the log-odds that it is content; these
+are the capacities to the two terminals. Smoothness edges, of about the size of an uncertain block's odds,
+join blocks that follow each other, the more strongly the nearer they are in the DOM tree. The minimum cut is
+the labelling of least total cost: a one-word paragraph between others stays, though it looks like a menu.
+
+The classifier is fitted on `SAMPLE_PAGES` labelled pages, made here from a seeded grammar of page parts, as
+`pages` has no labels: tags and class names are often missing or mislead there, as they do on the web.
+
+Parsing is linear in the page: a tag that never ends drops the rest, as in browsers, and elements nested
+deeper than `MOST_DEEP` count as their ancestor at that depth.
 
 Cases: null or empty HTML and pages without content give an empty text; broken nesting, stray and missing
 end tags are borne as browsers bear them; rows may repeat; an empty table gives an empty result; other
@@ -14,10 +20,12 @@ columns are ignored.
 from __future__ import annotations
 
 import html as _html
+import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,27 +40,37 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog search".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay toolbar"
-    " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended footer header masthead topbar bottombar comment comments commentlist disqus"
-    " reply replies respond share sharing social follow subscribe subscription newsletter signup login search pagination pager copyright disclaimer legal tags rail teaser skip hidden".split()
-)
-CONTENT_NAMES = frozenset("article content main post entry story body text".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-
-#: Classifier weights in favour of content: fixed, in units of log-odds.
-WEIGHTS = {"bias": -0.4, "boiler": -12.0, "named": -9.0, "content": 5.0, "content_name": 1.5, "links": -5.0, "words": 0.9, "stops": 0.8, "heading": 0.4}
-#: Capacity between neighbours under one parent; halved for each step between their parents.
-SMOOTH = 1.0
+#: Parts of class names and ids, by group; what each group tells is fitted.
+NAMES = {
+    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion teaser".split(),
+    "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay banner newsletter subscribe".split(),
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead topbar footer bottombar toolbar pagination pager related recommended".split(),
+    "reader": "comment comments commentlist disqus reply replies respond".split(),
+    "vague": "aside widget share sharing social follow login search copyright disclaimer legal tags rail skip signup subscription".split(),
+    "text": "article content main post entry story body text".split(),
+}
+GROUP = {part: group for group, parts in NAMES.items() for part in parts}
+FEATURES = ("bias", "boiler", "content", *NAMES, "links", "words", "stops", "heading", "item")
+
+#: Labelled pages that the classifier is fitted on, and the weight of its ridge penalty.
+SAMPLE_PAGES, RIDGE = 600, 1.0
+#: Capacity between neighbours at most two steps apart in the tree; halved for each step more.
+SMOOTH = 2.0
 SCALE = 1000
+MOST_DEEP = 500
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|</[^>]*>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.DOTALL)
+OTHER = re.compile(r"<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)")
+#: A quote counts only after an equals sign.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 NAME_PART = re.compile(r"[a-z]+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "boiler", "named", "content", "content_name", "silent")
+    __slots__ = ("tag", "parent", "depth", "boiler", "names", "content", "silent")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -60,18 +78,13 @@ class Node:
         self.boiler = tag in BOILER_TAGS or bool(parent and parent.boiler)
         self.content = tag in CONTENT_TAGS or bool(parent and parent.content)
         self.silent = tag in SILENT or bool(parent and parent.silent)
-        self.named, self.content_name = bool(parent and parent.named), bool(parent and parent.content_name)
+        self.names: frozenset[str] = parent.names if parent else frozenset()
         if attributes and "=" in attributes or "hidden" in attributes:
             for k, v in ATTRIBUTE.findall(attributes):
                 k = k.lower()
                 v = v.strip("\"'").lower()
-                if k in ("class", "id"):
-                    parts = set(NAME_PART.findall(v))
-                    if tag not in ("html", "body", *CONTENT_TAGS):
-                        self.named |= bool(parts & BOILER_NAMES)
-                        self.content_name |= bool(parts & CONTENT_NAMES)
-                    elif tag == "article" and "comment" in parts:
-                        self.named = True
+                if k in ("class", "id") and tag not in ("html", "body"):
+                    self.names |= {GROUP[x] for x in NAME_PART.findall(v) if x in GROUP}
                 elif k == "role":
                     self.boiler |= v in BOILER_ROLES
                     self.content |= v in ("main", "article")
@@ -90,7 +103,9 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, white space put right, empty and silent ones left out."""
     root = Node("#root", "", None)
     stack, out, parts = [root], [], []
-    linked = links = 0
+    opened, deeper = Counter(), Counter()  # open elements, and those too deep to be kept, by tag
+    runs = [Counter()]  # open inline elements within each open block
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -102,76 +117,162 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(k: int) -> None:
-        """Closes the open elements from k on; inline ones opened before them stay open as text goes on."""
-        nonlocal links
-        links -= sum(n.tag == "a" for n in stack[k:])
+        for n in reversed(stack[k:]):
+            opened[n.tag] -= 1
+            if n.tag in INLINE:
+                runs[-1][n.tag] -= 1
+            else:
+                runs.pop()
         del stack[k:]
 
+    def end(tag: str) -> None:
+        if deeper[tag]:
+            deeper[tag] -= 1
+        elif tag == "br":
+            parts.append(" ")
+        elif not opened[tag]:
+            if tag == "p":
+                flush()
+        elif tag not in INLINE or runs[-1][tag]:  # an inline one not through a block: what follows goes on within it
+            if tag not in INLINE:
+                flush()
+            close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+
+    def start(tag: str, attributes: str) -> None:
+        if tag not in INLINE:
+            flush()
+            for due, same, stop in ((tag in ENDS_P and opened["p"], {"p"}, ENDS_P), (tag in ENDS_SAME, *ENDS_SAME.get(tag, ((), ())))):
+                for k in range(len(stack) - 1, 0, -1) if due else ():
+                    if stack[k].tag in same:
+                        close(k)
+                        break
+                    if stack[k].tag in stop:
+                        break
+        elif tag in ("br", "img", "input"):
+            parts.append(" ")
+        if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in ENDS_P:
+            return
+        if len(stack) > MOST_DEEP:
+            deeper[tag] += 1
+            return
+        stack.append(Node(tag, attributes, stack[-1]))
+        opened[tag] += 1
+        if tag in INLINE:
+            runs[-1][tag] += 1
+        else:
+            runs.append(Counter())
+
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
+        here = page.find("<", at)
+        text = page[at : here if here >= 0 else n]
         if text and not stack[-1].silent:
             text = _html.unescape(text) if "&" in text else text
             parts.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text.strip())
-        if not m:
+        if here < 0:
             break
-        at = m.end()
-        if not (tag := m[2]):
+        if m := (COMMENT if page.startswith("<!--", here) else OTHER).match(page, here):
+            at = m.end()
             continue
-        tag = tag.lower()
+        letter = page[here + 1 + page.startswith("/", here + 1) : here + 3][:1]
+        if not (letter.isascii() and letter.isalpha()):  # a less-than sign
+            if not stack[-1].silent:
+                parts.append("<")
+            at = here + 1
+            continue
+        if not (m := TAG.match(page, here)):
+            break  # a tag that never ends
+        at, tag = m.end(), m[2].lower()
         if m[1]:
-            if tag == "br":
-                parts.append(" ")
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
+            end(tag)
+        elif tag in RAW:
+            if tag not in INLINE:
                 flush()
-            elif (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)) and not (tag in INLINE and any(x.tag not in INLINE for x in stack[k + 1 :])):
-                if tag not in INLINE:
-                    flush()
-                close(k)
-            continue
-        if tag not in INLINE:
-            flush()
-            if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag in ENDS_P:
-                        break
-            if tag in ENDS_SAME:
-                same, stop = ENDS_SAME[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in stop:
-                        break
-                    if stack[k].tag in same:
-                        close(k)
-                        break
-        elif tag in ("br", "wbr", "img", "input"):
-            parts.append(" " if tag != "wbr" else "")
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in ENDS_P and tag not in RAW:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
-            continue
-        stack.append(Node(tag, m[3], stack[-1]))
-        links += tag == "a"
+            close_ = RAW_END[tag].search(page, at)
+            at = close_.end() if close_ else n
+        else:
+            start(tag, m[3])
     flush()
     return out
 
 
-def odds(b: Block) -> float:
-    """Log-odds that a block is content."""
-    n, w = b.node, WEIGHTS
-    words = b.text.count(" ") + 1
-    x = w["bias"] + w["links"] * b.linked / len(b.text) + w["words"] * min(words / 12, 2.0)
-    x += w["stops"] * min(b.text.count(". ") + (b.text[-1] in ".!?"), 2)
-    if n.tag[0] == "h" and n.tag[1:].isdigit():
-        x += w["heading"]
-    return x + w["boiler"] * n.boiler + w["named"] * n.named + w["content"] * n.content + w["content_name"] * n.content_name
+def features(b: Block) -> list[float]:
+    n, words = b.node, b.text.count(" ") + 1
+    stops = min(b.text.count(". ") + (b.text[-1] in ".!?"), 2)
+    heading = n.tag[0] == "h" and n.tag[1:].isdigit()
+    return [1.0, n.boiler, n.content, *(g in n.names for g in NAMES), b.linked / len(b.text), min(words / 12, 2.0), stops, heading, n.tag in ("li", "td", "dt", "dd")]
+
+
+# --- the labelled sample
+
+
+def _words(rng: random.Random, mark: str, n: int) -> str:
+    return " ".join(mark + "".join(rng.choices("aeiourstln", k=rng.randint(1, 8))) for _ in range(n))
+
+
+def _prose(rng: random.Random, mark: str, short: float) -> str:
+    if rng.random() < short:
+        return _words(rng, mark, rng.randint(1, 3)) + rng.choice([".", "", ":"])
+    return " ".join(_words(rng, mark, rng.randint(2, 18)) + "." for _ in range(rng.randint(1, 6)))
+
+
+def _box(rng: random.Random, tags: str, group: str | None, inner: str, named: float = 0.8) -> str:
+    """inner in an element of one of the tags, mostly with a class of the group where it is a plain one."""
+    tag = rng.choice(tags.split())
+    plain = tag in ("div", "section")
+    name = rng.choice(NAMES[group]) if group and (plain or rng.random() < 0.3) and rng.random() < named else ""
+    return f"<{tag} class={name}-x>{inner}</{tag}>" if name else f"<{tag}>{inner}</{tag}>"
+
+
+def _links(rng: random.Random, n: int) -> str:
+    rows = [f"<a href=#>{_words(rng, 'b', rng.randint(1, 4))}</a>" for _ in range(n)]
+    return "<ul>" + "".join(f"<li>{x}</li>" for x in rows) + "</ul>" if rng.random() < 0.7 else " ".join(rows)
+
+
+def labelled_page(rng: random.Random) -> str:
+    """A page whose words tell its labels: those of content begin with c, others with b."""
+    p = lambda mark, short=0.15: f"<p>{_prose(rng, mark, short)}</p>"
+    body = [f"<h1>{_words(rng, 'c', rng.randint(2, 12))}</h1>"]
+    for _ in range(rng.randint(1, 20)):
+        kind = rng.random()
+        if kind < 0.80:
+            body.append(p("c"))
+        elif kind < 0.84:
+            body.append(f"<h2>{_words(rng, 'c', rng.randint(1, 6))}</h2>")
+        elif kind < 0.88:
+            body.append("<ul>" + "".join(f"<li>{_prose(rng, 'c', 0.5)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
+        elif kind < 0.92:  # names that mislead
+            body.append(_box(rng, "div section", "vague", p("c", 0)))
+        elif kind < 0.94:
+            body.append(_box(rng, "div", rng.choice(["ad", "notice"]), p("b", 0.3), 1.0))
+        elif kind < 0.97:
+            body.append(_box(rng, "div aside", rng.choice(["menu", "vague"]), _links(rng, rng.randint(1, 5))))
+        else:
+            body.append(_box(rng, "form", None, p("b", 0.5)))
+    parts = [_box(rng, "header div", "menu", p("b", 0.5)), _box(rng, "nav div", "menu", _links(rng, rng.randint(2, 9)))]
+    parts += [_box(rng, "div", "notice", p("b", 0.2), 0.95)] * (rng.random() < 0.5) + [_box(rng, "div", "ad", p("b", 0.2), 0.95)] * (rng.random() < 0.6)
+    parts.append(_box(rng, "article main div article", "text", "".join(body), 0.6))
+    parts += [_box(rng, "section div", "reader", "".join(p("b", 0.2) for _ in range(rng.randint(1, 5))), 0.95)] * (rng.random() < 0.5)
+    parts += [_box(rng, "aside div", "menu", p("b", 0.3) + _links(rng, 3))] * (rng.random() < 0.5)
+    parts.append(_box(rng, "footer div", "menu", f"&copy; {_words(rng, 'b', rng.randint(1, 12))}."))
+    return "<html><body>" + "".join(parts) + "</body></html>"
+
+
+def fitted(pages: int = SAMPLE_PAGES, seed: int = 17, ridge: float = RIDGE) -> np.ndarray:
+    """Weights in the order of FEATURES: logistic regression by Newton's method."""
+    rng = random.Random(seed)
+    found = [b for _ in range(pages) for b in blocks(labelled_page(rng))]
+    x, y = np.array([features(b) for b in found], float), np.array([" c" in f" {b.text}" for b in found], float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (q * (1 - q))) @ x + ridge * np.eye(len(w)), x.T @ (y - q) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
 
 
 def tree_distance(a: Node, b: Node) -> int:
@@ -249,29 +350,36 @@ def cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
                 a = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    if not found:
-        return ""
-    edges = [(k, k + 1, SMOOTH * 0.5 ** tree_distance(found[k].node, found[k + 1].node)) for k in range(len(found) - 1)]
+def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
+    edges = [(k, k + 1, SMOOTH * 0.5 ** max(0, tree_distance(found[k].node, found[k + 1].node) - 2)) for k in range(len(found) - 1)]
     last: dict[int, int] = {}
-    for k, b in enumerate(found):  # the block before under the same grandparent, if others lie between
+    for k, b in enumerate(found):  # the block before under the same parent, if others lie between
         up = id(b.node.parent or b.node)
         if last.get(up, k - 1) < k - 1:
             edges.append((last[up], k, SMOOTH / 2))
         last[up] = k
-    chosen = cut([odds(b) for b in found], [e for e in edges if e[2] * SCALE >= 1])
+    return [e for e in edges if e[2] * SCALE >= 1]
+
+
+def main_text(page: str | None, weights: np.ndarray, smooth: bool = True) -> str:
+    """The text of the blocks on the content side of the cut; without smoothness, of those with positive odds."""
+    found = blocks(page) if page else []
+    if not found:
+        return ""
+    odds = (np.array([features(b) for b in found], float) @ weights).tolist()
+    chosen = cut(odds, edges_of(found)) if smooth else [x > 0 for x in odds]
     return "\n".join(b.text for b, c in zip(found, chosen, strict=True) if c)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
+    weights = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 1000):
                 b = big.slice(start, 1000)
-                texts = [main_text(p) for p in b.column(2).to_pylist()]
+                texts = [main_text(p, weights) for p in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
