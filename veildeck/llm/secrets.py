@@ -1,17 +1,24 @@
-"""Secret scans: fixed patterns, and two Markov models of characters compared by likelihood.
+"""Secret scans: fixed patterns, and Markov models of characters compared by likelihood.
 
-The patterns give the base spans. Besides, runs of key characters that no base span touches are scored by
-the log-likelihood ratio of two first-order Markov models: one of random strings, one of ordinary
-identifiers, both trained here from labelled samples. A run is reported as `markov` if it holds a digit
-and a letter, is long enough, and its ratio for each character reaches the threshold.
+The patterns give the base spans. Besides, runs of `RUN_LEAST` or more key characters that no base span
+touches are scored by first-order Markov models: one for the random strings of each alphabet, one of ordinary
+identifiers. A run is reported as `markov` if the log-likelihood ratio of the likeliest random model against
+the ordinary one reaches the threshold: the whole run's, so that length counts and no kind of character is
+asked for.
 
-Cases: null and empty texts have no span; rows may repeat; equal starts go by kind; an empty table gives
-an empty result; other columns are ignored.
+Both samples are labelled by how they are made, half of each trains, the other half sets the threshold.
+Random strings are drawn from a seed. Ordinary identifiers are joined, as programs, paths and headings join
+them, from words of about `SAMPLE_DOCS` documents, at most `SAMPLE_WORDS` of them, and from a fixed list; a
+word is letters only and shorter than any secret, so no secret trains the ordinary model.
+
+Cases: null and empty texts have no span; rows may repeat, ids may be null; equal starts go by kind; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -29,14 +36,24 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 NAMES = ("passw", "secret", "token", "api")
 
 KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN_LEAST = 20
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Log-likelihood ratio for each character, in nats.
-THRESHOLD = 0.4
-#: Documents whose words are the samples of ordinary identifiers, and random strings of each alphabet.
-SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 3000
-ALPHABETS = (KEY_CHARS[:64], KEY_CHARS[:62], "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+RUN_LEAST = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+AGAIN = re.compile(r"(.)\1{2,}")
+WORD_MOST = 12
+#: Documents and words that ordinary identifiers are made from, identifiers made, random strings of each alphabet.
+SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_NAMES, SAMPLE_STRINGS = 2000, 30_000, 40_000, 3000
+ALPHABETS = {"base64": KEY_CHARS[:64], "base62": KEY_CHARS[:62], "url": KEY_CHARS[:62] + "_-", "hex": "0123456789abcdef", "upper hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "letters": "abcdefghijklmnopqrstuvwxyz"}
+#: Log-likelihood ratio, in nats, that is asked for at least: a secret is taken to be one run in 1.2 million.
+LEAST_RATIO = 14.0
+#: Share of the ordinary identifiers set aside that may reach the threshold.
+FALSE_SHARE = 1e-3
+KEPT_RUNS = 1 << 18
 PLACEHOLDER = "<secret>"
+# Words of identifiers, for corpora that have few.
+PLAIN_WORDS = (
+    "get set is has on to from by id key name file path data user item list map node page text line code type value index count size date time start end open close read write load save"
+    " send make find next last first test main base util config option result error message request response handler manager service client server element container version number system"
+).split()
 
 Span = tuple[int, int, str]
 
@@ -78,15 +95,30 @@ class Markov:
 
 
 class Scanner:
-    def __init__(self, ordinary: list[str], random: list[str] | None = None, threshold: float = THRESHOLD):
-        self.ratio = Markov(random_strings() if random is None else random).logs - Markov(ordinary).logs
+    """The models, fitted on one half of each sample; threshold is set by the other half unless given."""
+
+    def __init__(self, ordinary: list[str], random: dict[str, list[str]] | None = None, threshold: float | None = None):
+        random = random_strings() if random is None else random
+        plain = Markov(ordinary[::2]).logs
+        self.ratio = np.stack([Markov(x[::2]).logs - plain for x in random.values()])
         self.index = {c: i for i, c in enumerate(KEY_CHARS)}
-        self.threshold = threshold
+        self.threshold = LEAST_RATIO if threshold is None else threshold
+        held = [self.llr(x) for x in ordinary[1::2] if len(x) >= RUN_LEAST]
+        if threshold is None and held:
+            self.threshold = max(LEAST_RATIO, float(np.quantile(held, 1 - FALSE_SHARE)))
+        self.kept: dict[str, bool] = {}
 
     def llr(self, s: str) -> float:
-        """For each character."""
-        x = [len(KEY_CHARS), *map(self.index.__getitem__, s)]
-        return float(self.ratio[x[:-1], x[1:]].sum()) / len(s)
+        """Of the whole string, for the likeliest random model; what is repeated over twice counts twice."""
+        x = [len(KEY_CHARS), *map(self.index.__getitem__, AGAIN.sub(r"\1\1", s))]
+        return float(self.ratio[:, x[:-1], x[1:]].sum(axis=1).max())
+
+    def is_random(self, s: str) -> bool:
+        if (found := self.kept.get(s)) is None:
+            if len(self.kept) >= KEPT_RUNS:
+                self.kept.clear()
+            self.kept[s] = found = self.llr(s) >= self.threshold
+        return found
 
     def spans(self, text: str | None) -> list[Span]:
         """Base spans and those of the models, by start, then kind."""
@@ -94,40 +126,63 @@ class Scanner:
             return []
         found = base_spans(text)
         if any(len(w) >= RUN_LEAST for w in text.split()):
-            taken = [(a, b) for a, b, _ in found]
+            taken, k = _joined(found), 0
             for m in RUN.finditer(text):
-                s = m[0]
-                if any(a < m.end() and m.start() < b for a, b in taken) or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-                    continue
-                if self.llr(s) >= self.threshold:
+                while k < len(taken) and taken[k][1] <= m.start():
+                    k += 1
+                if not (k < len(taken) and taken[k][0] < m.end()) and self.is_random(m[0]):
                     found.append((*m.span(), "markov"))
         return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def random_strings(n: int = SAMPLE_STRINGS, seed: int = 11) -> list[str]:
+def random_strings(n: int = SAMPLE_STRINGS, seed: int = 11) -> dict[str, list[str]]:
     """The labelled samples of random strings: n of each alphabet."""
     rng = np.random.default_rng(seed)
-    return ["".join(rng.choice(list(a), int(rng.integers(16, 48)))) for a in ALPHABETS for _ in range(n)]
+    return {name: ["".join(rng.choice(list(a), int(rng.integers(16, 48)))) for _ in range(n)] for name, a in ALPHABETS.items()}
+
+
+def identifiers(words: list[str], n: int = SAMPLE_NAMES, seed: int = 23) -> list[str]:
+    """The labelled sample of ordinary identifiers: n of them, from words of letters."""
+    rng = random.Random(seed)
+    pool, out = [*PLAIN_WORDS, *words], []
+    for _ in range(n):
+        own = [rng.choice(pool if rng.random() < 0.8 else PLAIN_WORDS) for _ in range(rng.randint(1, 5))]
+        kind = rng.random()
+        if kind < 0.03:  # a character again and again
+            out.append(rng.choice(KEY_CHARS) * rng.randint(3, 40))
+            continue
+        if kind < 0.07:  # numbers and dates
+            out.append(rng.choice(["", "-", "_", "/"]).join("".join(rng.choices("0123456789", k=rng.choice([1, 2, 2, 4, rng.randint(1, 20)]))) for _ in range(rng.randint(1, 6)))[:40])
+            continue
+        joint = rng.choice(["", "_", "-", "/", "camel", "upper"])
+        if joint == "camel":
+            name = own[0] + "".join(w[:1].upper() + w[1:] for w in own[1:])
+        elif joint == "upper":
+            name = "_".join(own).upper()
+        else:
+            name = joint.join(own)
+        if rng.random() < 0.2:
+            name += rng.choice(["", "-", "_"]) + str(rng.randint(0, 10 ** rng.randint(1, 4)))
+        out.append(name)
+    return out
 
 
-def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
-    """The labelled samples of ordinary identifiers: key-character words outside base spans of about n
-    documents, chosen by a hash of their ids. Only their distinct words leave the tasks."""
-    rows = docs.where("text is not null").select("doc_id", "text")
+def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS, most: int = SAMPLE_WORDS) -> list[str]:
+    """Identifiers made from words of about n documents: those of the least hashes of id and text, and of their
+    words at most `most`, those of the least hashes."""
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     total = rows.count()
-    chosen = F.pmod(F.xxhash64(F.lit("ordinary"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, n / max(total, 1)) * (1 << 30))
-    words = rows.where(chosen).select("text").mapInArrow(_words_of, "word string").distinct()
-    return sorted(r.word for r in words.collect())
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("ordinary"), "doc_id", "text"), 11) / float(1 << 53)
+    words = rows.where(place < min(1.0, n / max(total, 1))).select("text").mapInArrow(_words_of, "word string").distinct()
+    return identifiers(sorted(r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(most).collect()))
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    letters = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z]{{2,{WORD_MOST}}}(?![A-Za-z0-9+/_=-])")
     for b in batches:
         words: set[str] = set()
         for t in b.column(0).to_pylist():
-            spans = base_spans(t)
-            for m in re.finditer(r"[A-Za-z0-9+/_=-]{3,40}", t):
-                if not any(a < m.end() and m.start() < e for a, e, _ in spans):
-                    words.add(m[0])
+            words.update(letters.findall(t))
         yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
 
 
@@ -135,16 +190,21 @@ def digest(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+def _joined(spans: list[Span]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, in order."""
+    out: list[list[int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def redacted(text: str, spans: list[Span]) -> str:
     """Overlapping spans as one, each replaced by the placeholder."""
-    joined: list[list[int]] = []
-    for a, b, _ in spans:
-        if joined and a < joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], b)
-        else:
-            joined.append([a, b])
     out, done = [], 0
-    for a, b in joined:
+    for a, b in _joined(spans):
         out += [text[done:a], PLACEHOLDER]
         done = b
     return "".join([*out, text[done:]])
