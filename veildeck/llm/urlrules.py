@@ -2,8 +2,8 @@
 
 A host's key is its labels in reverse, each followed by a dot, so a rule's host and all its subdomains are
 one interval of keys: `example.net` is [`net.example.`, `net.example/`), as `/` follows `.`. Such intervals
-nest or are disjoint. Urls are dealt out over ranges of keys (keys that fill several ranges are dealt to
-all of them), each rule to the ranges that its interval meets. A range is then swept in order of keys
+nest or are disjoint. Urls are dealt out over ranges of keys, a task each (keys that fill several ranges are
+dealt to all of them), each rule to the ranges that its interval meets. A range is then swept in order of keys
 with a stack of the rules that are open; of these the longest whose path begins the url's path wins.
 
 A rule is `host/path`; its length is that of the string, ties go to the longer host. Several rules of one
@@ -109,12 +109,12 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     below = _place(bounds, F.col("key"))
     equal = _place(bounds, F.col("key"), or_equal=True) - below
     # A key that several cuts equal has several ranges to itself, besides parts of those next to them.
-    to = below + F.when(equal > 0, F.pmod(F.xxhash64("page_id", "url"), equal + 1)).otherwise(0)
+    to = below + F.when(equal > 0, F.pmod(F.xxhash64(F.monotonically_increasing_id()), equal + 1)).otherwise(0)
     rows = urls.select(to.cast("int").alias("part"), "key", F.lit(True).alias("is_url"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     parts = rules.where("rule is not null").select("rule", "verdict", ascii_lower(F.substring_index("rule", "/", 1)).alias("host")).withColumn("path", F.expr("substr(rule, length(host) + 1)")).withColumn("key", host_key(F.col("host")))
     end = F.expr("concat(substr(key, 1, length(key) - 1), '/')")
     first, last = _place(bounds, F.col("key")), _place(bounds, F.col("end"))
     opened = parts.withColumn("end", end).select(F.explode(F.sequence(first, last)).alias("part"), "key", F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("page_id"), "host", "path", "rule", "verdict")
     both = rows.unionByName(opened)
-    swept = both.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "key", "is_url")
+    swept = both.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "is_url")
     return swept.mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string")
