@@ -6,10 +6,10 @@ sum over the document's n-grams of the difference between their ranks here and t
 the language's profile lacks; the nearest language wins. The score is 1 - distance / largest distance.
 
 Profiles are fitted on a sample of labelled rows: about `SAMPLE` documents a language, chosen by a hash of
-their id. Every document is judged by its whole text.
+their id and text, of the `LANGUAGES` labels that most rows have. Every document is judged by its whole text.
 
 Cases: a null text, or one without a letter, is `und` with score 0, as is all text where no language was
-learned; rows may repeat; ties go to the language that sorts first; an empty table gives an empty result;
+learned; rows may repeat, ids may be null; ties go to the language that sorts first; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -28,6 +28,8 @@ TOP = 300
 ORDERS = 3
 #: Documents a language that profiles are fitted on, about.
 SAMPLE = 2000
+#: Labels that are learned: those of most rows, ties by name.
+LANGUAGES = 500
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS, HELD = 4, 2
@@ -81,13 +83,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict[str, np.ndarray]:
     """The ranked n-grams of each language of the rows doc_id, text, lang: at most `top` each."""
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where("lang is not null and text is not null")
     # A row for each language, as the profiles themselves come back: the shares then need no join of texts.
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
-    place = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, sample / n) * (1 << 30)))])
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("profile"), "doc_id", "text"), 11) / float(1 << 53)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n))])
     chosen = rows.where(place < share[F.col("lang")]).select("lang", "text")
     sums = chosen.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
