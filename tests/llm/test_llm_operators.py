@@ -203,6 +203,30 @@ def test_packing_pieces_are_what_the_tokenizer_gives():
     assert all(np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids for x in odd)
 
 
+def test_packing_letters_of_all_scripts():
+    """Single letters, marks and digits of the whole of Unicode, each after a space and at a text's start."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    rng = random.Random(3)
+    chars = [*map(chr, range(0x20, 0x300)), *(chr(rng.randrange(0x300, 0xD800)) for _ in range(1500)), *(chr(rng.randrange(0xE000, 0x1FFFF)) for _ in range(1500))]
+    for k in range(0, len(chars), 7):
+        x = " ".join("".join(rng.choices(chars[k : k + 7] + ["a", "é"], k=3)) for _ in range(5))
+        assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_packing_ranges(spark):
+    """Bounds cut by bytes, equal rows without ids are spread, and every order is fixed."""
+    rows = [(None, "the same words again and again")] * 400 + [(k, "long " * (2000 if k % 50 == 0 else 3)) for k in range(100)]
+    docs = frame(spark, rows)
+    got = packing.packed(docs, tokenizer_path())
+    parts = Counter(r.sequence_id >> 40 for r in got.collect() if r.doc_id is None)
+    assert len(parts) > 1 and got.agg(F.sum("length")).first()[0] == sum(len(packing.Encoder(tokenizer_path()).encode(t)) // 2 + 1 for _, t in rows)
+    bounds = [[k, 0, 0] for k in range(0, 1000, 7)]
+    at = spark.range(1000).select("id", packing.placed(bounds, F.array("id", F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("n"))
+    assert all(r.n == r.id // 7 + 1 for r in at.collect())
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     key = packing.hilbert(grid, 3)
@@ -452,6 +476,46 @@ def test_languages(spark, docs, nothing):
     assert langid.profiles(nothing) == {} and langid.identified(nothing, profile).count() == 0
 
 
+def test_profiles_and_distances_from_the_definition(spark):
+    rng = random.Random(21)
+    letters = {"aa": "abcdeé", "bb": "cdefgß", "cc": "ghiabñ"}
+    text = lambda x: " ".join("".join(rng.choices(letters[x], k=rng.randint(1, 6))) + rng.choice(["", ".", " 12", "_"]) for _ in range(rng.randint(1, 30)))
+    rows = [(k, text(x), x) for k, x in enumerate(list(letters) * 20)] + [(None, text("aa").upper(), "aa"), (None, None, "aa"), (5, "", "bb"), (6, text("cc"), None)]
+
+    def counted(texts):
+        n = Counter()
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+                n.update(w)
+                n.update(f" {w} "[k : k + 2] for k in range(len(w) + 1))
+                n.update(f" {w} "[k : k + 3] for k in range(len(w)))
+        return n
+
+    # Single letters, then pairs, then triples, each in order of code points.
+    ranked = lambda n, top: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][:top]
+    for top in (300, 25):
+        profile = langid.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), top=top)
+        plain = {x: ranked(counted(t for _, t, own in rows if own == x), top) for x in letters}
+        as_code = lambda g: int("".join(f"{ord(c):021b}" for c in g), 2)
+        assert {x: list(v) for x, v in profile.items()} == {x: [as_code(g) for g in v] for x, v in plain.items()}
+        judge = langid.Judge(profile, top)
+        for _, t, _ in rows:
+            own = ranked(counted([t]), top)
+            if not own:
+                assert judge(t) == ("und", 0.0)
+                continue
+            far = {x: sum(abs(v.index(g) - k) if g in v else top for k, g in enumerate(own)) for x, v in plain.items()}
+            best = min(far, key=lambda x: (far[x], x))
+            assert judge(t) == (best, pytest.approx(1 - far[best] / (top * len(own))))
+
+
+def test_sample_without_ids(spark):
+    """Where all ids are null rows are still sampled one by one, and labels are bounded."""
+    rows = [(None, f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} abc", "aa") for k in range(900)] + [(None, "zzz", f"l{k}") for k in range(30)]
+    found = langid.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    assert len(found["aa"]) > 50 and len(found) == 31
+
+
 # --- decontamination
 
 

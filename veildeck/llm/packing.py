@@ -1,14 +1,17 @@
 """Token packing along a space-filling curve.
 
 Each document's token ids are hashed into a few counts, projected to three dimensions with fixed signs,
-and given the Hilbert key of that point. Documents are sorted by key over ranges (equal keys by id, so a
-group of equal texts may span ranges), and each range is laid out as one stream that is cut at every
-`size` ids. What remains at a range's end is cut into powers of two, which need no padding.
+and given the Hilbert key of that point. Documents are sorted by key over ranges of about `RANGE_BYTES` of
+ids (equal keys by id, then by a salt, so a group of equal rows may span ranges), and each range is laid out
+as one stream that is cut at every `size` ids. What remains at a range's end is cut into powers of two,
+which need no padding. Where ranges begin is read off a sample of rows, drawn by their size; it decides only
+who does the work.
 
 Ids are those of the tokenizer file through `tokenizers`. A text is cut before each single space that
 stands before a word; the pre-tokenizer cuts there too, so the ids of the pieces are the text's ids, and
-pieces that come again are looked up. New ones are merged by the file's own ranks, which the file's
-order of merges must confirm. Texts or files to which that doesn't apply are encoded whole.
+pieces that come again are looked up. A new piece of plain Latin letters is one pre-token, which the
+tokenizer's model gets as it is; others go through the whole tokenizer. Texts or files to which that doesn't
+apply are encoded whole.
 
 Cases: a null or empty text is the one id 0; rows may repeat, each is packed; a null id is kept; an empty
 table gives an empty result; other columns are ignored.
@@ -16,6 +19,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -33,10 +37,10 @@ END_ID = 0
 BUCKETS = 32
 BITS = 10
 KEPT_PIECES = 1 << 19
-
-
-#: What a byte-level pre-tokenizer cuts a text into: fixed values of the tokenizer's format.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters below this code point have been letters in all versions of Unicode since 5.0.
+PLAIN_BELOW = "\u0250"
+#: Bytes of ids in a range, about; rows sampled for each, and in all.
+RANGE_BYTES, PER_RANGE, SAMPLE = 64 << 20, 60, 1 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -64,31 +68,31 @@ class Encoder:
     """Token ids of texts as little-endian unsigned numbers, two bytes each where all ids fit."""
 
     def __init__(self, path: str):
-        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = str(self.tokenizer.pre_tokenizer)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        # Cutting at spaces, and merging by rank, are right for plain byte-level files only.
-        merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges", [])]
-        self.cuts = model.get("type") == "BPE" and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tokenizer.normalizer is None
-        self.cuts = self.cuts and bool(merged) and merged[0] >= 256 and all(a < b for a, b in zip(merged, merged[1:], strict=False)) and not model.get("ignore_merges")
-        if self.cuts:
-            alphabet, special = _byte_alphabet(), set(self.marks)
-            ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-            merge = tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
-            code = "H" if self.dtype.itemsize == 2 else "I"
-            one, several = merge._core_bpe.encode_single_piece, merge._core_bpe.encode_ordinary  # one: no cutting
-            self.first = _Kept(lambda x: array(code, one(x.encode()) if x.isalpha() else several(x)).tobytes(), KEPT_PIECES)
-            self.rest = _Kept(lambda x: array(code, one(b" " + x.encode()) if x.isalpha() else several(" " + x)).tobytes(), 2 * KEPT_PIECES)
+            kind = json.load(f)["model"].get("type")
+        # Cutting at spaces is right for plain byte-level files only.
+        self.cuts = kind == "BPE" and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tokenizer.normalizer is None
+        self.alphabet = {b: c for c, b in _byte_alphabet().items()}
+        self.first = _Kept(self._piece, KEPT_PIECES)
+        self.rest = _Kept(lambda x: self._piece(" " + x), 2 * KEPT_PIECES)
+
+    def _piece(self, x: str) -> bytes:
+        word = x[1:] if x[:1] == " " else x
+        if word.isalpha() and max(word) < PLAIN_BELOW:
+            ids = [t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.alphabet))]
+        else:
+            ids = self.tokenizer.encode(x, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.cuts or "  " in text or text[-1:] == " " or any(m in text for m in self.marks):
@@ -221,9 +225,37 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
     """
     if size < 1 or size & (size - 1):
         raise ValueError("the size of a sequence is a power of two")
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = written(texts.mapInArrow(_encoded(tokenizer), "doc_id long, key long, width int, ids binary"), "ids")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    along = ids.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return along.mapInArrow(_laid_out(size, with_ids), PIECES)
+    # Equal rows are told apart by their place in the written table.
+    salted = ids.withColumn("place", F.array("key", F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(F.monotonically_increasing_id())))
+    bounds = _bounds(salted)
+    along = salted.withColumn("part", placed(bounds, F.col("place"))).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("key", "doc_id", "ids")
+    return along.select("doc_id", "key", "width", "ids").mapInArrow(_laid_out(size, with_ids), PIECES)
+
+
+def _bounds(rows: DataFrame) -> list[list[int]]:
+    """Places that cut the rows into ranges of about equal bytes."""
+    spark, n = rows.sparkSession, F.length("ids") + 16
+    total = rows.agg(F.sum(n)).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES)
+    if not total or ranges < 2:
+        return []
+    step = total / min(SAMPLE, ranges * PER_RANGE)  # bytes that a sampled row stands for, or its own if it has more
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("range"), "place"), 11) / float(1 << 53)
+    found = sorted((list(r.place), max(step, r.n)) for r in rows.where(chance < n / step).select("place", n.alias("n")).collect())
+    bounds, done, due = [], 0.0, sum(w for _, w in found) / ranges
+    for place, weight in found:
+        if done >= due * (len(bounds) + 1) and len(bounds) < ranges - 1:
+            bounds.append(place)
+        done += weight
+    return bounds
+
+
+def placed(bounds: list[list[int]], x: Column) -> Column:
+    """How many bounds are at or below x: a binary search, a step for each bit of their number."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.from_json(F.lit(json.dumps(bounds)), "array<array<bigint>>")  # folded into one literal
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, n: F.when(F.coalesce(F.get(cuts, at + n - 1) <= x, F.lit(False)), at + n).otherwise(at))
