@@ -537,7 +537,8 @@ def test_contamination(spark, in_memory):
                     if w[b : b + n] == v[a : a + n]:
                         hit |= set(range(b, b + n))
                         found.add(str(j))
-        want.append((i, len(w), len(hit), len(found), ",".join(sorted(found)), len(found) >= 2))
+        full = sum(any(w[b : b + 8] == split(u)[a : a + 8] for a in range(len(split(u)) - 7) for b in range(len(w) - 7)) for j, u in items)
+        want.append((i, len(w), len(hit), len(found), full, ",".join(sorted(found)), len(found) >= 2))
     documents = spark.createDataFrame([(i, t, "z", 1) for i, t in texts], "doc_id long, text string, window string, size int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminated(documents, bench, in_memory=in_memory).drop("tag")
@@ -546,6 +547,7 @@ def test_contamination(spark, in_memory):
     assert decontaminate.contaminated(documents, bench.limit(0), in_memory=in_memory).where("contaminated").count() == 0
     clean = decontaminate.clean(documents, bench)
     assert clean.columns == documents.columns and clean.count() == sum(not x[-1] for x in want)
+    assert decontaminate.clean(documents, bench, least_full=1).count() == sum(not (x[-1] or x[4]) for x in want)
 
 
 # --- simhash

@@ -75,23 +75,26 @@ def hits(documents: DataFrame, windows: DataFrame, in_place: bool) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2, in_memory: int = IN_MEMORY) -> DataFrame:
-    """doc_id, tag (a hash of the text), n_words, n_hit, n_items, items (sorted, comma-joined) and
-    contaminated of every row."""
+    """doc_id, tag (a hash of the text), n_words, n_hit, n_items, n_full (items of which a window of full size
+    occurs), items (sorted, comma-joined) and contaminated of every row."""
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = written(item_windows(items.select("item_id", "text").where("text is not null"), documents, window), "windows")
     bytes_ = windows.agg(F.sum(F.length("window") * 4 + 80)).first()[0] or 0
     found = written(hits(documents, windows, bytes_ <= in_memory).distinct(), "hits")
     covered = found.select("doc_id", "tag", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct().groupBy("doc_id", "tag").agg(F.count("*").alias("n_hit"))
-    listed = found.select("doc_id", "tag", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id", "tag").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    marks = covered.join(listed, covered["doc_id"].eqNullSafe(listed["doc_id"]) & (covered["tag"] == listed["tag"])).select(covered["doc_id"].alias("hit_id"), covered["tag"].alias("hit_tag"), "n_hit", "n_items", "items")
+    listed = found.select("doc_id", "tag", F.col("item_id").cast("string").alias("item"), "size").groupBy("doc_id", "tag", "item").agg((F.max("size") == window).cast("long").alias("full")).groupBy("doc_id", "tag").agg(F.count("*").alias("n_items"), F.sum("full").alias("n_full"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    marks = covered.join(listed, covered["doc_id"].eqNullSafe(listed["doc_id"]) & (covered["tag"] == listed["tag"])).select(covered["doc_id"].alias("hit_id"), covered["tag"].alias("hit_tag"), "n_hit", "n_items", "n_full", "items")
     sizes = documents.select("doc_id", F.xxhash64("text").alias("tag"), F.size(_words(F.col("text"))).cast("long").alias("n_words"))
     out = sizes.join(marks, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag")), "left")
     drop(windows)
     n_items = F.coalesce("n_items", F.lit(0))
-    return out.select("doc_id", "tag", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), n_items.alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), (n_items >= least_items).alias("contaminated"))
+    return out.select("doc_id", "tag", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), n_items.alias("n_items"), F.coalesce("n_full", F.lit(0)).alias("n_full"), F.coalesce("items", F.lit("")).alias("items"), (n_items >= least_items).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    found = contaminated(docs, items, window, least_items).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
-    return docs.join(written(found, "contaminated"), F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_tag")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2, least_full: int | None = None) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns. If least_full is given, neither are
+    those kept that have windows of full size of so many items."""
+    found = contaminated(docs, items, window, least_items)
+    gone = F.col("contaminated") if least_full is None else F.col("contaminated") | (F.col("n_full") >= least_full)
+    marked = found.where(gone).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
+    return docs.join(written(marked, "contaminated"), F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hit_tag")), "left_anti")
