@@ -1,8 +1,11 @@
 """From documents to packed sequences: five stages, each written as Parquet and read again.
 
-1. language: documents without a letter, or unlike every learned language, go.
-2. near_duplicates: one document of each SimHash group stays.
-3. decontamination: documents with a passage (eight words, or a shorter item) of a benchmark item go.
+1. language: documents without a letter, or unlike every learned language, go; where nothing could be
+   learned, those with a letter stay.
+2. near_duplicates: one document of each group of near copies stays (wide fingerprints of five-word shingles,
+   for a similarity of 0.8 or more).
+3. decontamination: documents with a passage of eight words of a benchmark item go, and those with two items;
+   an item of fewer words alone, which may be a common phrase, drops none.
 4. secrets: what the scan finds is replaced within the text; every document stays.
 5. packing: the pieces of the packed sequences.
 
@@ -23,16 +26,19 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identified(docs, langid.profiles(docs))
+    profiles = langid.profiles(docs)
+    found = langid.identified(docs, profiles)
+    if not profiles:
+        return found.where(F.col("row.text").rlike(r"\p{L}")).select("row.*")
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, simhash.WIDE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), least_items=1)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), least_full=1)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
