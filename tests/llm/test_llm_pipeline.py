@@ -1,35 +1,125 @@
-"""The pipeline's stages, each on what the one before kept."""
+"""The pipeline's stages against plain versions, each on what the one before kept."""
 
+import random
+import re
+
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from veildeck.llm import langid, packing, secrets
+from veildeck.llm.queries import tokenizer_path
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, token string, key long"
+ITEM = "zebra quokka walrus heron osprey marten ferret badger weasel otter"
+
+
+def given():
+    rng = random.Random(31)
+    words = {x: ["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(150)] for x, letters in (("en", "etaoinshr"), ("de", "enisratüö"))}
+    text = lambda x, n: " ".join(rng.choices(words[x], k=n))
+    rows = [(k, text(x, 60), x) for k, x in enumerate(["en", "de"] * 20)]
+    near = rows[0][1].split()
+    near[30] = "changed"
+    rows += [(100, rows[0][1], "en"), (101, " ".join(near), "en"), (102, f"{text('en', 20)} {ITEM.title()} {text('en', 20)}", "en"), (103, "ab cd " + text("de", 30), "de")]
+    rows += [(104, "12 34 ... !", "en"), (105, None, None), (106, "", "de"), (107, text("en", 9000), "en"), (108, f"{text('en', 30)} password=hunter2hunter2 {text('en', 9)}", "en")]
+    rows += [(2, rows[2][1], "en"), (None, text("de", 40), None), (None, None, "en"), (3, text("de", 50), "de")]
+    return [(i, t, x, "s", len(t) if t is not None else None, "r", "t", 1) for i, t, x in rows]
+
+
+def tables(spark, path, rows, items):
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def plain_print(text):
+    w = (text or "").encode().lower().split()
+    grams = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    h = [int.from_bytes(xxhash.xxh3_128_digest(g, seed=42), "little") for g in grams]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(128))
+
+
+def plain_groups(rows):
+    prints = [plain_print(r["text"]) for r in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            d = prints[a] ^ prints[b]
+            if d.bit_count() <= 24 and any((d >> 16 * k & 0xFFFF).bit_count() <= 1 for k in range(8)):
+                x, y = group[a], group[b]
+                group = [x if g == y else g for g in group]
+    return [min((i for i, g in enumerate(group) if g == own), key=lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0)) for own in sorted(set(group))]
+
+
+def split(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def same(got, want):
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+
+
+def test_stages_against_plain_versions(spark, tmp_path):
+    items = [(1, ITEM), (2, "ab cd"), (3, None), (4, "")]
+    docs = tables(spark, tmp_path, given(), items)
+    stages = dict(corpus_pipeline.STAGES)
+    assert [s for s, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
+    assert len(stages) == 5
+
+    kept = stages["language"](spark, docs, str(tmp_path))
+    judge = langid.Judge(langid.profiles(docs))
+    rows = [r for r in docs.collect() if judge(r.text)[0] != "und" and judge(r.text)[1] >= corpus_pipeline.LEAST_SCORE]
+    assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in rows} == {104, 105, 106}
+    same(kept.collect(), rows)
+
+    rows = kept.collect()
+    kept = stages["near_duplicates"](spark, kept, str(tmp_path))
+    want = [rows[k] for k in plain_groups(rows)]
+    assert kept.columns == docs.columns and not {100, 101} & {r.doc_id for r in want}
+    same(kept.collect(), want)
+
+    rows = kept.collect()
+    kept = stages["decontamination"](spark, kept, str(tmp_path))
+    runs = lambda w: {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    want = [r for r in rows if not runs(split(r.text)) & runs(split(ITEM))]
+    assert kept.columns == docs.columns and {102} == {r.doc_id for r in rows} - {r.doc_id for r in want}
+    same(kept.collect(), want)
+
+    rows = kept.collect()
+    scanner = secrets.Scanner(secrets.ordinary_strings(kept))
+    kept = stages["secrets"](spark, kept, str(tmp_path))
+    clean = [secrets.redacted(r.text, scanner.spans(r.text)) for r in rows]
+    same(kept.select("doc_id", "text", "n_chars").collect(), [(r.doc_id, t, len(t)) for r, t in zip(rows, clean, strict=True)])
+    (left,) = kept.where("doc_id = 108").select("text").first()
+    assert kept.columns == docs.columns and "hunter2" not in left and "<secret>" in left
+
+    out = stages["packing"](spark, kept, str(tmp_path))
+    encoder, whole = packing.Encoder(tokenizer_path()), {}
+    for r in out.collect():
+        whole.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    want = sorted(np.frombuffer(encoder.encode(r.text), "<u2").tolist() + [0] for r in kept.collect())
+    assert sorted(sum((x for _, x in sorted(p)), []) for p in whole.values()) == want
 
 
-def test_stages_keep_clean_documents(spark, tmp_path):
-    one = "the people of the town were sad and so they went to see what had been done with all of it in those days"
-    other = "we found that most of this was never any good for them because some other things had come up on that morning"
-    item = "zebra quokka walrus heron osprey marten ferret badger weasel otter"
-    docs = [(1, one, "en"), (2, one, "en"), (2, one, "en"), (3, other, "en"), (4, f"so {item} there is more of the same here", "en"), (5, "12 345 ...", "en"), (6, None, None), (7, f"{other[::-1]} password=hunter2hunter2 and then the rest of it", "en"), (8, "", "en")]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    columns, ids = now.columns, {}
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, str(tmp_path))
-        ids[name] = sorted(r.doc_id for r in now.select("doc_id").collect())
-        if name != "packing":
-            assert now.columns == columns
-        if name == "secrets":
-            (text,) = now.where("doc_id = 7").select("text").first()
-            assert "hunter2" not in text and "<secret>" in text
-            assert now.where("n_chars <> length(text)").count() == 0
-    assert ids["language"] == [1, 2, 2, 3, 4, 7]
-    assert ids["near_duplicates"] == [1, 3, 4, 7]
-    assert ids["decontamination"] == ids["secrets"] == [1, 3, 7]
-    assert set(ids["packing"]) == {1, 3, 7}
-
-
-def test_run_is_the_stages(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+@pytest.mark.parametrize("case", ["no documents", "no items", "nothing", "no labels", "null ids"])
+def test_empty_tables_and_nulls(spark, tmp_path, case):
+    rows, items = given(), [(1, ITEM)]
+    if case in ("no documents", "nothing"):
+        rows = []
+    if case in ("no items", "nothing"):
+        items = []
+    if case == "no labels":
+        rows = [(i, t, None, *rest) for i, t, _, *rest in rows]
+    if case == "null ids":
+        rows = [(None, *rest) for _, *rest in rows]
+    tables(spark, tmp_path, rows, items)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    if not rows:
+        assert out.count() == 0
+    else:
+        assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    if case == "no labels":
+        assert {r.doc_id for r in out.select("doc_id").collect()} >= set(range(1, 40))
