@@ -25,6 +25,10 @@ DATE_DAY_NAME = rf"(?i)(?<![0-9A-Za-z])(\d{{1,2}})(?:st|nd|rd|th)?[ \-](?:{MONTH
 DATE_NAME_DAY = rf"(?i)(?<![A-Za-z])(?:{MONTHS})\.?[ \-](\d{{1,2}})(?:st|nd|rd|th)?[ ,\-]+\d{{2,4}}(?![0-9A-Za-z])"
 DATE_BARE_14, DATE_BARE_8 = r"(?<![0-9A-Za-z])\d{14}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])\d{8}(?![0-9A-Za-z])"
 SCORES = {"nric": 1.0, "nric_shape": 0.5, "email": 1.0, "phone": 0.9, "temp_ic": 0.7, "case_number": 0.7, "iso": 0.85, "numeric": 0.8, "named": 0.9, "bare": 0.6}
+#: Names that a plan may hold.
+MOST_NAMES = 5000
+#: Every built-in format has one of these characters, dates among them.
+ANY_FORMAT = "[0-9@]"
 #: Layers whose findings count at the lower bar.
 CONFIDENT_SOURCES = ("header", "gazetteer", "sg", "custom_regex")
 
@@ -111,7 +115,9 @@ def header(text: Column, known: Column) -> Column:
 
 
 def gazetteer(text: Column, names: list[str] | Column) -> Column:
-    """Whole phrases of a list of names; for lists of any length see operators.gazetteer."""
+    """Whole phrases of a short list of names, which the plan holds; see operators.gazetteer for others."""
+    if not isinstance(names, Column) and len(names) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} names: use operators.gazetteer")
     values = names if isinstance(names, Column) else F.array(*map(F.lit, names)).cast("array<string>")
     return F.when(text.isNull(), S.no_spans()).otherwise(_phrases(text, values, lambda _v: F.lit("name"), "gazetteer"))
 
@@ -162,9 +168,10 @@ class Scanner:
             layers.append(header(text, known))
         if self.gazetteer:
             layers.append(gazetteer(text, list(self.gazetteer)))
-        layers += [f(text) for f in (nric, temp_ic, case_number, email, phone)]
+        formats = [f(text) for f in (nric, temp_ic, case_number, email, phone)]
         if self.detect_dates:
-            layers.append(dates(text, self.include_bare))
+            formats.append(dates(text, self.include_bare))
+        layers.append(F.when(text.rlike(ANY_FORMAT), F.concat(*formats)).otherwise(S.no_spans()))
         if self.custom:
             layers.append(custom(text, list(self.custom)))
         layers += [f(text) for f in self.extra]

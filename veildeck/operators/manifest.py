@@ -62,7 +62,7 @@ def claimed(files: DataFrame, worker: str, now: str, n: int = 1, batch_id: str |
     for one run, and the streaming form leaves it to the offset log."""
     pending = files.where((F.col("status") == "pending") & (F.lit(True) if batch_id is None else F.col("batch_id") == batch_id))
     first = pending.orderBy("id").limit(n).select("id", F.lit(True).alias("__c"))
-    rows = files.join(F.broadcast(first), "id", "left")
+    rows = files.join(first, "id", "left")
     return rows.withColumn("status", F.when(F.col("__c"), "in_progress").otherwise(F.col("status"))).withColumn("worker", F.when(F.col("__c"), worker).otherwise(F.col("worker"))).withColumn("started_at", F.when(F.col("__c"), now).otherwise(F.col("started_at"))).drop("__c").select(*files.columns)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions import detectors as D
 from ..functions import pseudonyms as P
 from ..plans import catalog as C
 
+# Categories whose planted values are literals.
 LITERAL_CATEGORIES = ("names", "nric_fin", "temp_ic", "case_number", "passport", "phone", "email", "dates", "mrn", "accession", "address")
 
 
@@ -62,17 +66,49 @@ def qa_findings(found: DataFrame) -> DataFrame:
     return found.select(F.regexp_extract("file_id", r"([^/\\]*)$", 1).alias("file"), "location", F.col("keyword").alias("field"), "category", "source", "score", F.when(F.col("confident"), "confirmed").otherwise("review").alias("confidence"), "preview")
 
 
+#: Planted literals at most.
+MOST_LITERALS = 10_000
+
+
 def survivors(texts: DataFrame, planted: DataFrame) -> DataFrame:
     """category, value of planted literals that some output (file_id, text) still holds.
 
-    Planted literals are a list made by hand, checked to be small before it is sent to every executor;
-    name separators count as spaces, in the file's name too."""
-    if planted.count() > 10_000:
+    Planted literals are a list made by hand, checked to be small before it goes to every executor, where one
+    automaton finds all of them in a single pass over each text; name separators count as spaces, in the
+    file's name too."""
+    known = planted.where(F.col("category").isin(*LITERAL_CATEGORIES) & (F.coalesce("value", F.lit("")) != "")).select("category", "value").distinct().limit(MOST_LITERALS + 1).collect()
+    if len(known) > MOST_LITERALS:
         raise ValueError("planted literals are a short list; use operators.gazetteer for long ones")
     name = F.regexp_replace(F.regexp_extract("file_id", r"([^/\\]*)$", 1), r"[_\-.]+", " ")
     norm = texts.select(F.translate(F.concat_ws(" ", "text", name), "^=", "  ").alias("norm"))
-    known = planted.where(F.col("category").isin(*LITERAL_CATEGORIES) & (F.coalesce("value", F.lit("")) != "")).distinct()
-    return norm.join(F.broadcast(known), F.contains("norm", "value")).select("category", "value").distinct()
+    owners: dict[str, list[str]] = {}
+    for r in known:
+        owners.setdefault(r.value, []).append(r.category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, met = _finder(list(owners)), set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                met.update(find(t))
+        rows = [(c, v) for v in sorted(met) for c in owners[v]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["category", "value"])
+
+    return norm.mapInArrow(run, "category string, value string").distinct()
+
+
+def _finder(values: list[str]):
+    """A function of a text to those of the values that it holds."""
+    if not values:
+        return lambda text: ()
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [v for v in values if v in text]
+    automaton = ahocorasick.Automaton()
+    for v in values:
+        automaton.add_word(v, v)
+    automaton.make_automaton()
+    return lambda text: {v for _, v in automaton.iter(text)}
 
 
 def survivor_report(left: DataFrame) -> DataFrame:
@@ -84,24 +120,54 @@ def acceptance(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("n_checks"), F.count_if("passed").alias("n_passed"), F.bool_and("passed").alias("passed"))
 
 
-CHECKS = ("de-identification ran", "metadata clean (no planted PHI)", "residual detector scan", "outputs are valid", "reversibility policy", "resumable (no reprocessing)", "defacing applied or gracefully skipped")
+CHECKS = ("every input has an output", "no planted value is left", "detectors find nothing for certain", "outputs can be read", "reversible only if asked", "a second run has nothing to do", "faces removed where they can be")
+
+
+def face_counts(files: DataFrame) -> DataFrame:
+    """One row over files (file_id, defaced or null, reason, deface_error or null): records, defaced, errors and
+    whether none failed. A skip with a reason is no failure."""
+    return files.agg(F.count("defaced").alias("n_records"), F.count_if(F.coalesce("defaced", F.lit(False))).alias("n_defaced"), F.count("deface_error").alias("n_errors")).withColumn("ok", F.col("n_errors") == 0)
+
+
+def reprocessed(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row, n: files that a second run over the same inputs would take up again, though the first one
+    finished them. Both are manifests (input_path, status)."""
+    done = first.where(F.col("status").isin("done", "flagged")).select("input_path")
+    return second.where("status = 'pending'").join(done, "input_path", "left_semi").agg(F.count("*").alias("n"))
+
+
+def distinct_notes(reports: DataFrame) -> DataFrame:
+    """note: each text, once, that some report (notes: an array, or null) holds."""
+    return reports.select(F.explode("notes").alias("note")).where("note is not null and note <> ''").distinct()
+
 
+def acceptance_checks(inputs: DataFrame, outputs: DataFrame, survived: DataFrame, summary: DataFrame, unreadable: DataFrame, walk: DataFrame, again: DataFrame, faces: DataFrame, mode: str = "irreversible") -> DataFrame:
+    """name, passed and detail of the seven checks of a run, in one plan over its tables.
 
-def acceptance_checks(spark, *, inputs: int, outputs: int, survived: DataFrame, summary: DataFrame, invalid: int = 0, mode: str = "irreversible", crosswalk_rows: int = 0, round_trip: bool = True, reprocessed: int = 0, deface_ok: bool | None = None) -> DataFrame:
-    """name, passed, detail of the seven checks of a run."""
-    kept = [f"{r.category}: {r.survivors}" for r in survivor_report(survived).orderBy("category").collect()]
-    s = summary.first()
-    reversible = crosswalk_rows == 0 if mode == "irreversible" else round_trip
+    inputs and outputs have file_id, survived what survivors() gives, summary what batch() does, unreadable a
+    row for each output that can't be read again, walk the crosswalk that was kept (pseudonym, original, and
+    restored, what the keystore gives back), again what reprocessed() gives, faces what face_counts() does."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    missing = n(inputs.select("file_id").distinct().join(outputs.select("file_id").distinct(), "file_id", "left_anti"), "missing")
+    kept = survivor_report(survived).agg(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "category", "survivors"))), "; "), F.lit("")).alias("kept"))
+    crosswalk = walk.agg(F.count("*").alias("n_walk"), F.coalesce(F.bool_and(F.col("restored").eqNullSafe(F.col("original"))), F.lit(True)).alias("restored"))
+    counts = [n(inputs, "n_in"), missing, kept, summary.select(F.col("passed").alias("clean"), "n_flagged", "scanned"), n(unreadable, "n_bad"), crosswalk, again.select(F.col("n").alias("n_again")), faces]
+    one = counts[0]
+    for df in counts[1:]:  # each has one row
+        one = one.crossJoin(df)
+    reversible = F.col("n_walk") == 0 if mode == "irreversible" else F.col("restored") & (F.col("n_walk") > 0)
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     rows = [
-        (CHECKS[0], outputs > 0 and outputs == inputs, f"{outputs} of {inputs} inputs produced output"),
-        (CHECKS[1], not kept, "; ".join(kept) or "0 planted identifiers survived"),
-        (CHECKS[2], bool(s.passed), f"flagged {s.n_flagged} of {s.scanned} files"),
-        (CHECKS[3], invalid == 0, f"{invalid} invalid"),
-        (f"{CHECKS[4]} ({mode})", reversible, f"{crosswalk_rows} crosswalk rows"),
-        (CHECKS[5], reprocessed == 0, f"second run reprocessed {reprocessed} files"),
-        (CHECKS[6], deface_ok in (None, True), "no head-inclusive volume met" if deface_ok is None else f"ok: {deface_ok}"),
+        ((F.col("n_in") > 0) & (F.col("missing") == 0), text(F.col("missing"), " without output")),
+        (F.col("kept") == "", F.col("kept")),
+        (F.coalesce("clean", F.lit(False)), text(F.col("n_flagged"), " of ", F.col("scanned"), " flagged")),
+        (F.col("n_bad") == 0, text(F.col("n_bad"), " unreadable")),
+        (reversible, text(mode, ", ", F.col("n_walk"), " in the crosswalk")),
+        (F.col("n_again") == 0, text(F.col("n_again"), " taken up again")),
+        (F.col("ok"), text(F.col("n_records"), " records, ", F.col("n_defaced"), " defaced, ", F.col("n_errors"), " errors")),
     ]
-    return spark.createDataFrame(rows, "name string, passed boolean, detail string")
+    made = F.array(*[F.struct(F.lit(c).alias("name"), p.alias("passed"), d.cast("string").alias("detail")) for c, (p, d) in zip(CHECKS, rows, strict=True)])
+    return one.select(F.explode(made).alias("c")).select("c.*")
 
 
 def report(checks: DataFrame) -> str:
