@@ -10,7 +10,8 @@ who does the work.
 Ids are those of the tokenizer file through `tokenizers`. A text is cut before each single space that
 stands before a word; the pre-tokenizer cuts there too, so the ids of the pieces are the text's ids, and
 pieces that come again are looked up. A new piece of plain Latin letters is one pre-token, which the
-tokenizer's model gets as it is; others go through the whole tokenizer. Texts or files to which that doesn't
+tokenizer's model gets as it is; ASCII punctuation after it is another; other pieces go through the whole
+tokenizer. Texts or files to which that doesn't
 apply are encoded whole.
 
 Cases: a null or empty text is the one id 0; rows may repeat, each is packed; a null id is kept; an empty
@@ -20,6 +21,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -85,9 +87,13 @@ class Encoder:
         self.alphabet = {b: c for c, b in _byte_alphabet().items()}
         self.first = _Kept(self._piece, KEPT_PIECES)
         self.rest = _Kept(lambda x: self._piece(" " + x), 2 * KEPT_PIECES)
+        self.marks_after = _Kept(self._piece, KEPT_PIECES)
 
     def _piece(self, x: str) -> bytes:
         word = x[1:] if x[:1] == " " else x
+        core = word.rstrip(string.punctuation)
+        if core and core != word and core.isalpha() and max(core) < PLAIN_BELOW:
+            return (self.rest if x[:1] == " " else self.first)[core] + self.marks_after[word[len(core) :]]
         if word.isalpha() and max(word) < PLAIN_BELOW:
             ids = [t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.alphabet))]
         else:
