@@ -104,3 +104,32 @@ def defaced(cells: DataFrame, modality: DataFrame, model: Callable[[DataFrame],
     mask = dilated(model(cells.join(plan.where("defaced"), "file_id", "left_semi")), sizes, margin).withColumn("gone", F.lit(True))
     out = cells.join(mask, ["file_id", "z", "y", "x"], "left").withColumn("v", F.when(F.col("gone"), 0.0).otherwise(F.col("v"))).select(*cells.columns)
     return out, plan
+
+
+def redacted_pixels(files: DataFrame, boxes: DataFrame, fill: float = 0) -> DataFrame:
+    """file_id, content, frames, boxes, decompressed and error of files (file_id, content) with boxes (file_id,
+    frame or null, x, y, w, h) filled: decoded, filled, stored uncompressed. What can't be decoded has no content."""
+    from ..sources import dicom
+
+    per = boxes.groupBy("file_id").agg(F.collect_list(F.struct("frame", "x", "y", "w", "h")).alias("boxes"))
+
+    def one(content: bytes, found: list[dict]) -> tuple:
+        try:
+            frames = [a.copy() for a in dicom.pixel_arrays(content)]
+            for b in found:
+                x0, y0 = max(0, b["x"]), max(0, b["y"])
+                for k, a in enumerate(frames):
+                    if b["frame"] in (None, k):
+                        a[y0 : max(y0, y0 + b["h"]), x0 : max(x0, x0 + b["w"])] = fill
+            packed = isinstance(dicom.Parser(content).value(dicom.PIXELS), dicom.Fragments)
+            return dicom.with_pixels(content, frames), len(frames), len(found), packed, None
+        except Exception as e:  # noqa: BLE001 - a file that can't be decoded is a row that says so
+            return None, None, None, None, str(e) or type(e).__name__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = one(b.column(1)[k].as_py() or b"", b.column(2)[k].as_py() or [])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *[pa.array([v], kind) for v, kind in zip(row, (pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.string()), strict=True)]], ["file_id", "content", "frames", "boxes", "decompressed", "error"])
+
+    return files.join(per, "file_id", "left").select("file_id", "content", "boxes").mapInArrow(run, "file_id string, content binary, frames int, boxes int, decompressed boolean, error string")

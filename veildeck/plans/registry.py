@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detectors as D
 from ..functions import pseudonyms as P
 from ..functions import spans as S
-from ..operators import arrays, elements, gazetteer, governance, learning, manifest, residual, rules, sidecars
+from ..operators import arrays, elements, gazetteer, governance, learning, manifest, models, residual, rules, sidecars
 from . import catalog as C
 from . import planted as X
 
@@ -616,3 +616,95 @@ def deface(spark: SparkSession, sf: str) -> DataFrame:
     modality = X.table(spark, sf, "nation").selectExpr("concat('v', n_nationkey) as file_id", "if(n_nationkey % 2 = 0, 'MR', null) as modality")
     out, plan = arrays.defaced(cells, modality, lambda v: v.where("v > 500 and z = 10").select("file_id", "z", "y", "x"), margin=1)
     return out.groupBy("file_id").agg(F.count_if(F.col("v") > 0).alias("bright")).join(plan, "file_id")
+
+
+# --- layers that need a model, and pixels of files; models and readers here are stubs
+
+
+def _stub_model():
+    import re
+
+    def find(text: str):
+        found = [(m.start(), m.end(), "PERSON", 0.9) for m in re.finditer(r"Customer#\d+", text)] + [(m.start(), m.end(), "ORG", 0.9) for m in re.finditer("BUILDING", text)]
+        return found + [(m.start(), m.end(), "LOCATION", 0.3 if m[0][-1] in "13579" else 0.8) for m in re.finditer(r"(?<= in )[^,]+", text)]
+
+    return find
+
+
+@query("SELECT c_custkey AS k, 0 AS at, length(c_name)::INT AS til, 'name' AS category, 'presidio' AS source FROM customer UNION ALL SELECT c_custkey, (length(c_name) + 4)::INT, (length(c_name) + 4 + length(n_name))::INT, 'location', 'presidio' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE right(n_name, 1) NOT IN ('1', '3', '5', '7', '9')")
+def model_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and places by a model in the worker: low scores and other labels are left out; a second layer, whose
+    folder isn't there, adds only a note."""
+    names = X.table(spark, sf, "nation").selectExpr("n_name", "n_nationkey")
+    rows = X.table(spark, sf, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("c_custkey as k", "concat(c_name, ' in ', n_name, ', ', c_mktsegment) as text")
+    found = models.scanned(rows, "text", D.Scanner(detect_dates=False), [models.entity_layer(_stub_model), models.ner_layer(None, lambda _: _stub_model())])
+    return found.select("k", F.explode("spans").alias("s")).where("s.source = 'presidio'").select("k", F.col("s.start").alias("at"), F.col("s.end").alias("til"), "s.category", "s.source")
+
+
+@query(f"""WITH {NOTES}, r AS (SELECT k, 'SG_NRIC_FIN' AS category, 1.0::DOUBLE AS score FROM t WHERE substr(nric, 9, 1) = {LETTER} UNION ALL SELECT k, 'SG_NRIC_FIN', 0.5 FROM t UNION ALL SELECT k, 'SG_TEMP_IC', 0.6 FROM t UNION ALL SELECT k, 'SG_CASE_NUMBER', 0.5 FROM t UNION ALL SELECT k, 'SG_PHONE', 0.7 FROM t UNION ALL SELECT k, 'SG_PHONE', 0.4 FROM t
+UNION ALL SELECT k, 'SG_POSTAL', 0.6 FROM t UNION ALL SELECT k, 'SG_POSTAL', 0.6 FROM t WHERE k % 2 = 0) SELECT category, score, count(*)::BIGINT AS n FROM r GROUP BY category, score""")
+def recognised(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered recognisers over the notes, with a number without a check letter, a temporary one, and
+    postal codes of two kinds."""
+    extra = F.expr("concat(text, ' M1234567K Y', lpad(cast(k % 10000000 as string), 7, '0'), 'Q Singapore 12345', cast(k % 10 as string), if(k % 2 = 0, ' S(123456)', ' S(12345)'))")
+    rows = S.once(X.notes(spark, sf).withColumn("text", extra), "s", models.recognised(F.col("text")))
+    return rows.select(F.explode("s").alias("s")).groupBy("s.category", "s.score").agg(F.count("*").alias("n"))
+
+
+def _stub_reader():
+    def read(image):
+        if image.max() == 0:
+            raise ValueError("blank image")
+        return [(f"9{int(image.sum()):07d}", 1, 1, 3, 2), ("word", 0, 0, 2, 2)]
+
+    return read
+
+
+@query("WITH u AS (SELECT vec_id, i - 1 AS i, floor(abs(embedding[i]) * 100)::INT % 200 AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)) SELECT 'e' || vec_id AS file_id, (i // 8)::INT AS y, (i % 8)::INT AS x, (CASE WHEN vec_id % 3 = 0 OR (i % 8 BETWEEN 2 AND 4 AND i // 8 BETWEEN 1 AND 2) THEN 0 ELSE v END)::INT AS v FROM u")
+def stored_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector as a file of one image: boxes filled, stored and read again; every third wholly."""
+    from ..sources import dicom
+
+    rows = X.table(spark, sf, "embeddings").select(F.concat(F.lit("e"), "vec_id").alias("file_id"), "vec_id", F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 100) % 200).cast("int")).alias("cells"))
+
+    def files(batches):
+        import pyarrow as pa
+
+        u = lambda x: x.to_bytes(2, "little")
+        head = [(dicom.SAMPLES, "US", u(1)), (dicom.ROWS, "US", u(8)), (dicom.COLUMNS, "US", u(8)), (dicom.BITS, "US", u(8)), (dicom.SIGNED, "US", u(0))]
+        for b in batches:
+            made = [dicom.encoded([*head, (dicom.PIXELS, "OB", bytes(c))]) for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["file_id", "content"])
+
+    raw = rows.select("file_id", "cells").mapInArrow(files, "file_id string, content binary")
+    boxes = rows.selectExpr("file_id", "cast(null as int) as frame", "if(vec_id % 3 = 0, -5, 2) as x", "if(vec_id % 3 = 0, 0, 1) as y", "if(vec_id % 3 = 0, 99, 3) as w", "if(vec_id % 3 = 0, 99, 2) as h")
+    again = dicom.frames(arrays.redacted_pixels(raw, boxes).select("file_id", "content"))
+    cells = again.select("file_id", "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data")), lambda k: F.conv(F.hex(F.substring(F.col("data"), k, F.lit(1))), 16, 10).cast("int"))).alias("i", "v"))
+    return cells.select("file_id", F.expr("cast(i div w as int)").alias("y"), F.expr("cast(i % w as int)").alias("x"), "v")
+
+
+@query("WITH v AS (SELECT n_nationkey AS k, unnest(range(3))::INT AS frame FROM nation) SELECT 'n' || k AS file_id, frame, 1 AS x, 1 AS y, 3 AS w, 2 AS h FROM v WHERE k % 4 <> 0 OR frame < 1")
+def image_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of words in frames; every fourth file's second frame can't be read, which ends that file."""
+    rows = X.table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) as file_id", "n_nationkey as k", "explode(sequence(0, 2)) as frame")
+    frames = rows.selectExpr("file_id", "frame", "4 as h", "4 as w", "1 as c", "'|u1' as dtype", "unhex(if(k % 4 = 0 and frame = 1, repeat('07', 16), concat(repeat('00', 8), repeat('09', 8)))) as data")
+    boxes, _ = models.boxes_of(models.words_in(frames, _stub_reader))
+    return boxes.select("file_id", "frame", "x", "y", "w", "h")
+
+
+def _stub_renderer():
+    import numpy as np
+
+    def render(content: bytes, dpi: int):
+        if content[:1] == b"x":
+            raise ValueError("encrypted")
+        return [np.arange(48, dtype=np.uint8).reshape(4, 4, 3)] * int(content[1:])
+
+    return render
+
+
+@query("SELECT 'n' || n_nationkey AS file_id, CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 3 = 0 THEN 'removed_fallback' ELSE 'rasterize_redact' END AS mode, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0 THEN n_nationkey % 3 END::INT AS pages, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0 THEN n_nationkey % 3 END::INT AS boxes FROM nation")
+def documents_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Embedded documents as pages with words filled; those that can't be rendered, or have no page, are removed."""
+    rows = X.table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) as file_id", "cast(concat(if(n_nationkey % 5 = 0, 'x', 'p'), n_nationkey % 3) as binary) as content")
+    return models.redacted_documents(rows, _stub_renderer, _stub_reader).select("file_id", "mode", "pages", "boxes")
