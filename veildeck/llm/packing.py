@@ -38,7 +38,8 @@ SIZE = 1024
 END_ID = 0
 BUCKETS = 32
 BITS = 10
-KEPT_PIECES = 1 << 19
+#: Pieces kept by a worker, in each of two generations: some 110 MB.
+KEPT_PIECES = 1 << 18
 #: Letters below this code point have been letters in all versions of Unicode since 5.0.
 PLAIN_BELOW = "\u0250"
 #: Bytes of ids in a range, about; rows sampled for each, and in all.
@@ -53,16 +54,21 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class _Kept(dict):
-    """Encoded strings, kept for when they come again; emptied when full."""
+    """Encoded strings, kept for when they come again. When full, it is put aside as the old generation, from
+    which what is still in use comes back, and the generation before is dropped."""
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, x: str) -> bytes:
+        got = self.old.get(x)
+        if got is None:
+            got = self.encode(x)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[x] = got = self.encode(x)
+        self[x] = got
         return got
 
 
@@ -85,9 +91,9 @@ class Encoder:
         # Cutting at spaces is right for plain byte-level files only.
         self.cuts = kind == "BPE" and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tokenizer.normalizer is None
         self.alphabet = {b: c for c, b in _byte_alphabet().items()}
-        self.first = _Kept(self._piece, KEPT_PIECES)
-        self.rest = _Kept(lambda x: self._piece(" " + x), 2 * KEPT_PIECES)
-        self.marks_after = _Kept(self._piece, KEPT_PIECES)
+        self.first = _Kept(self._piece, KEPT_PIECES >> 4)
+        self.rest = _Kept(lambda x: self._piece(" " + x), KEPT_PIECES)
+        self.marks_after = _Kept(self._piece, KEPT_PIECES >> 4)
 
     def _piece(self, x: str) -> bytes:
         word = x[1:] if x[:1] == " " else x
@@ -119,6 +125,18 @@ def _encoder(path: str) -> Encoder:
     return kept.__dict__[path]
 
 
+def _forget() -> None:
+    """Frees what a worker has learnt: texts are encoded before any sequence is laid out."""
+    import sys
+
+    if kept := sys.modules.get("_veildeck_encoders"):
+        for x in list(vars(kept).values()):
+            if hasattr(x, "rest"):
+                for cache in (x.first, x.rest, x.marks_after):
+                    cache.clear()
+                    cache.old = {}
+
+
 def hilbert(point: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The place along the Hilbert curve of points in unsigned coordinates, a row each (Skilling, 2004)."""
     x = point.astype(np.int64).T.copy()
@@ -177,6 +195,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _laid_out(size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         part = TaskContext.get().partitionId()
         sequence, open_ = part << 40, []  # the pieces of the sequence that isn't full yet
         filled = 0
@@ -198,6 +217,9 @@ def _laid_out(size: int, with_ids: bool):
                     if filled == size:
                         out += [_piece(p, sequence, with_ids) for p in open_]
                         sequence, open_, filled = sequence + 1, [], 0
+                if len(out) >= 2048:
+                    yield rows(out)
+                    out = []
             if out:
                 yield rows(out)
         out, room, used = [], 0, 0
