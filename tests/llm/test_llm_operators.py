@@ -219,9 +219,10 @@ def test_packing_ranges(spark):
     """Bounds cut by bytes, equal rows without ids are spread, and every order is fixed."""
     rows = [(None, "the same words again and again")] * 400 + [(k, "long " * (2000 if k % 50 == 0 else 3)) for k in range(100)]
     docs = frame(spark, rows)
+    encoder = packing.Encoder(tokenizer_path())
     got = packing.packed(docs, tokenizer_path())
     parts = Counter(r.sequence_id >> 40 for r in got.collect() if r.doc_id is None)
-    assert len(parts) > 1 and got.agg(F.sum("length")).first()[0] == sum(len(packing.Encoder(tokenizer_path()).encode(t)) // 2 + 1 for _, t in rows)
+    assert len(parts) > 1 and got.agg(F.sum("length")).first()[0] == sum(len(encoder.encode(t)) // 2 + 1 for _, t in rows)
     bounds = [[k, 0, 0] for k in range(0, 1000, 7)]
     at = spark.range(1000).select("id", packing.placed(bounds, F.array("id", F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("n"))
     assert all(r.n == r.id // 7 + 1 for r in at.collect())
