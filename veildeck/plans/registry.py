@@ -708,3 +708,6 @@ def documents_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Embedded documents as pages with words filled; those that can't be rendered, or have no page, are removed."""
     rows = X.table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) as file_id", "cast(concat(if(n_nationkey % 5 = 0, 'x', 'p'), n_nationkey % 3) as binary) as content")
     return models.redacted_documents(rows, _stub_renderer, _stub_reader).select("file_id", "mode", "pages", "boxes")
+
+
+from . import file_queries  # noqa: E402, F401 - registers the queries over files
