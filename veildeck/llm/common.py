@@ -13,6 +13,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Paths given out by scratch(), in order.
+MADE: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +30,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veildeck-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/veildeck-{tag}-{uuid.uuid4().hex}"
+    MADE.append(path := f"{base.rstrip('/')}/veildeck-{tag}-{uuid.uuid4().hex}")
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -50,20 +55,29 @@ def dealt(df: DataFrame, tag: str, column: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def drop_part(spark: SparkSession, path: str, column: str, value: int) -> None:
-    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
-    part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)
+    delete(spark, f"{path}/{column}={value}")
+
+
+def sweep(spark: SparkSession, since: int, keep: str) -> None:
+    """Deletes what scratch() gave out from the since-th path on, but for the one that is kept."""
+    for path in MADE[since:]:
+        if path != keep:
+            delete(spark, path)
+    MADE[since:] = [keep]
 
 
 def drop(*tables: DataFrame) -> None:
     """Deletes written() tables that no later stage reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/veildeck-" in name:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                delete(df.sparkSession, name)
 
 
 def words(text: Column) -> Column:

@@ -35,7 +35,8 @@ def _words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """window (its words, lowered, a space between), size, item_id, and key and place of its rarest word."""
+    """window (its words, lowered, a space between), size, item_id, and key and place of its rarest word: a
+    written table."""
     w = items.select(F.col("item_id"), _words(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
     runs = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("v")).distinct()
@@ -46,7 +47,9 @@ def item_windows(items: DataFrame, documents: DataFrame, window: int = WINDOW) -
     rarest = placed.join(counts, "key").groupBy("item_id", "v").agg(F.min(F.struct("n", "key", "place")).alias("r"), F.count("*").alias("found"))
     # A word of the window that no document has rules the window out.
     whole = rarest.where(F.col("found") == F.size("v"))
-    return whole.select("item_id", F.array_join("v", " ").alias("window"), F.size("v").alias("size"), F.col("r.key").alias("key"), F.col("r.place").alias("place"))
+    out = written(whole.select("item_id", F.array_join("v", " ").alias("window"), F.size("v").alias("size"), F.col("r.key").alias("key"), F.col("r.place").alias("place")), "windows")
+    drop(vocabulary, counts)
+    return out
 
 
 def _begin_fits() -> Column:
@@ -78,7 +81,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_
     """doc_id, tag (a hash of the text), n_words, n_hit, n_items, n_full (items of which a window of full size
     occurs), items (sorted, comma-joined) and contaminated of every row."""
     documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    windows = written(item_windows(items.select("item_id", "text").where("text is not null"), documents, window), "windows")
+    windows = item_windows(items.select("item_id", "text").where("text is not null"), documents, window)
     bytes_ = windows.agg(F.sum(F.length("window") * 4 + 80)).first()[0] or 0
     found = written(hits(documents, windows, bytes_ <= in_memory).distinct(), "hits")
     covered = found.select("doc_id", "tag", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct().groupBy("doc_id", "tag").agg(F.count("*").alias("n_hit"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, drop_part, written
+from .common import dealt, drop, drop_part, written
 
 #: Never part of UTF-8, so it stands for the ends of a text.
 END = 0xFF
@@ -369,6 +369,7 @@ def scored(docs: DataFrame, order: int = LOW) -> DataFrame:
     # The end mark, which every chunk has, stays out of the join.
     back = written(words.where("number is not null").select("chunk", "number", "token").join(counts, "token").select("chunk", "number", "c"), "back")
     drop_part(spark, path, "kind", WORDS)
+    drop(counts)
     rows = found.select("kind", "chunk", "bucket", "ids", "masked", "data")
     judged = written(rows.where(F.col("kind") == CODES).select("chunk", "bucket", "data").groupBy("bucket").applyInArrow(_judged(model, order), "chunk long, bucket int, data binary"), "logs")
     drop_part(spark, path, "kind", CODES)

@@ -143,12 +143,15 @@ def _refined(keyed: DataFrame, shape: Shape) -> DataFrame:
     return made.select("print", F.col("key").bitwiseOR(F.col("part")).alias("key"), "side")
 
 
-def links(prints: DataFrame, shape: Shape = NARROW, refine: int = REFINE) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column print) that differ in at most shape.max_bits bits."""
+def links(prints: DataFrame, shape: Shape = NARROW, refine: int = REFINE, temporary: list[DataFrame] | None = None) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column print) that differ in at most shape.max_bits bits. The table
+    that the result reads is added to temporary."""
     if shape.words == 1 and not 0 <= shape.max_bits <= 2 * len(shape.segments) - 1:
         raise ValueError("one of three segments differs by one bit at most only up to five bits")
     spark = prints.sparkSession
     distinct = written(prints.select("print").distinct(), "distinct")
+    if temporary is not None:
+        temporary.append(distinct)
     n = distinct.count()
     # A number of partitions of our own: each print becomes a row for each key, which Spark's estimate leaves out.
     keys = shape.words * (64 + len(shape.segments))
@@ -194,12 +197,15 @@ def near_duplicates(docs: DataFrame, shape: Shape = NARROW) -> DataFrame:
     """Of every row doc_id, tag (a hash of its text), print, root (its group) and component_id, the smallest
     doc_id of the group (null if no row of it has one)."""
     prints = written(fingerprints(docs, shape), "prints")
-    roots = components(links(prints, shape)).select(F.col("node").alias("print"), "root")
+    temporary: list[DataFrame] = []
+    linked = components(links(prints, shape, temporary=temporary))
+    drop(*temporary)
+    roots = linked.select(F.col("node").alias("print"), "root")
     least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "least")
     # Written on its own, so that the rows of a very large group come straight from an exchange and can be split.
     first = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     ids = written(least.join(first, "root").select("print", "root", "component_id"), "ids")
-    drop(least, first)
+    drop(least, first, linked)
     return prints.join(ids, "print").select("doc_id", "tag", "print", "root", "component_id")
 
 
