@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veildeck.llm import decontaminate, langid, packing, secrets, simhash
-from veildeck.llm.common import table, written
+from veildeck.llm.common import MADE, sweep, table, written
 from veildeck.llm.queries import tokenizer_path
 
 #: Documents that share less than this of their n-gram ranks with the nearest language are rejected.
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's own tables, and the one that it read, are deleted once its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        sweep(spark, since, MADE[-1])
     return docs
