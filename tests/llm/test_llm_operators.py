@@ -618,6 +618,28 @@ def test_near_copies_of_five_word_shingles(spark):
     assert all(found[i] // 2 == i // 2 for i in found)
 
 
+def test_groups_of_many_near_prints(spark):
+    """A large group of near prints gets its root without all of its pairs; chains and strangers are kept apart."""
+    rng = random.Random(3)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centre = rng.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(300)}
+    chain = [rng.getrandbits(64)]
+    for k in range(12):
+        chain.append(chain[-1] ^ sum(1 << b for b in rng.sample(range(64), 4)))
+    prints |= {*chain, *(rng.getrandbits(64) for _ in range(100))}
+    ordered = [signed(p) for p in prints]
+    group = {p: p for p in ordered}
+    for a, b in itertools.combinations(ordered, 2):
+        if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+            x, y = group[a], group[b]
+            if x != y:
+                group = {p: min(x, y) if g in (x, y) else g for p, g in group.items()}
+    rows = spark.createDataFrame([(p,) for p in ordered], "print long").repartition(3)
+    assert {r.print: r.root for r in simhash.groups(rows).collect()} == group
+    assert simhash.groups(rows, refine=0).count() == len(ordered)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(5, k) for k in range(6, 40)] + [(50, 49), (49, 48), (60, 60)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

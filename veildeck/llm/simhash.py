@@ -16,8 +16,11 @@ fingerprints are verified within the join. There are two shapes:
 Beyond `REFINE` distinct fingerprints the narrow shape's keys take exact parts of the other segments as well,
 one more part than bits may differ there, so that some part is equal and buckets stay small.
 
-The join runs over distinct fingerprints, so exact copies cost one row however many they are. Groups
-are found by alternating star contractions over the links, each round a written table.
+The join runs over distinct fingerprints, so exact copies cost one row however many they are. Of a group of
+many near copies not all pairs are made: fingerprints that share two segments, or one, are first linked with
+the least of them alone, where that is near enough, and the groups that this gives are found. The join then
+puts out only links between different groups. Groups are found by alternating star contractions over the
+links, each round a written table.
 
 Cases: a null or empty text, or one of white space only, has fingerprint 0 and is linked like any other;
 rows may repeat; an empty table gives an empty result; columns other than the two named are ignored.
@@ -107,21 +110,25 @@ def _words_of(x: Column, shape: Shape) -> list[Column]:
     return [x] if shape.words == 1 else [x[f"p{k}"] for k in range(shape.words)]
 
 
+def _segments(x: Column, shape: Shape) -> list[Column]:
+    return [F.shiftrightunsigned(word, low).bitwiseAND((1 << width) - 1) for word in _words_of(x, shape) for low, width in shape.segments]
+
+
 def _keyed(prints: DataFrame, shape: Shape) -> DataFrame:
-    """print, key and side: of each segment its exact value (side 2) and one key for each bit (side: the bit)."""
+    """print, mark, key and side: of each segment its exact value (side 2) and one key for each bit (side: the bit)."""
     segments, code = [], 0
     for word in _words_of(F.col("print"), shape):
         for low, width in shape.segments:
             seg = F.shiftrightunsigned(word, low).bitwiseAND((1 << width) - 1)
             segments.append(F.struct(seg.alias("value"), F.lit(width).alias("width"), F.lit(code + 1).alias("code")))
             code += width + 1
-    cut = prints.select("print", F.explode(F.array(*segments)).alias("seg")).select("print", "seg.*")
-    each = cut.select("print", "value", "code", F.explode(F.sequence(F.lit(-1), F.col("width") - 1)).alias("bit"))
+    cut = prints.select("print", "mark", F.explode(F.array(*segments)).alias("seg")).select("print", "mark", "seg.*")
+    each = cut.select("print", "mark", "value", "code", F.explode(F.sequence(F.lit(-1), F.col("width") - 1)).alias("bit"))
     one = F.expr("if(bit < 0, 0L, shiftleft(1L, bit))")
     value = F.col("value").bitwiseAND(F.bitwise_not(one))
     key = F.shiftleft(value, NUMBER_BITS + PART_BITS).bitwiseOR(F.shiftleft((F.col("code") + F.col("bit")).cast("long"), NUMBER_BITS + PART_BITS + 32))
     side = F.when(F.col("bit") < 0, 2).otherwise((F.col("value") != value).cast("int"))
-    return each.select("print", key.alias("key"), side.alias("side"))
+    return each.select("print", "mark", key.alias("key"), side.alias("side"))
 
 
 def _refined(keyed: DataFrame, shape: Shape) -> DataFrame:
@@ -140,50 +147,87 @@ def _refined(keyed: DataFrame, shape: Shape) -> DataFrame:
 
     exact = F.col("side") == 2
     made = keyed.withColumn("rest", rest).withColumn("part", F.explode(F.when(exact, parts(shape.max_bits + 1)).otherwise(parts(max(1, shape.max_bits)))))
-    return made.select("print", F.col("key").bitwiseOR(F.col("part")).alias("key"), "side")
+    return made.select("print", "mark", F.col("key").bitwiseOR(F.col("part")).alias("key"), "side")
+
+
+def _near(a: Column, b: Column, shape: Shape) -> Column:
+    differ = [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(_words_of(a, shape), _words_of(b, shape), strict=True)]
+    return sum(differ[1:], differ[0]) <= shape.max_bits
+
+
+def _tasks(distinct: DataFrame, n: int, keys: int) -> int:
+    """A number of partitions of our own: each print becomes a row for each key, which Spark's estimate leaves out."""
+    return max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * keys * KEY_BYTES // TASK_BYTES)
+
+
+def stars(distinct: DataFrame, n: int, shape: Shape) -> DataFrame:
+    """Links a < b of the n distinct fingerprints with the least one of those that share a segment, or two, with
+    them, where it is near: a row for each cell at most, however large a group is."""
+    seg = _segments(F.col("print"), shape)
+    cells = [F.xxhash64(F.lit(i), x) for i, x in enumerate(seg)] + [F.xxhash64(F.lit(i), x, F.lit(j), y) for i, x in enumerate(seg) for j, y in enumerate(seg[:i])]
+    each = distinct.repartition(_tasks(distinct, n, len(cells))).select("print", F.explode(F.array(*cells)).alias("cell"))
+    least = written(each.groupBy("cell").agg(F.min("print").alias("least"), F.count("*").alias("n")).where("n > 1").select("cell", "least"), "cells")
+    met = each.join(least, "cell").where((F.col("print") != F.col("least")) & _near(F.col("print"), F.col("least"), shape))
+    out = written(met.select(F.col("least").alias("a"), F.col("print").alias("b")).distinct(), "stars")
+    drop(least)
+    return out
 
 
-def links(prints: DataFrame, shape: Shape = NARROW, refine: int = REFINE, temporary: list[DataFrame] | None = None) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column print) that differ in at most shape.max_bits bits. The table
-    that the result reads is added to temporary."""
+def _pairs(rows: DataFrame, n: int, shape: Shape, refine: int) -> DataFrame:
+    """Pairs a < b of the n rows (print, mark) that are near and differ in their marks."""
     if shape.words == 1 and not 0 <= shape.max_bits <= 2 * len(shape.segments) - 1:
         raise ValueError("one of three segments differs by one bit at most only up to five bits")
-    spark = prints.sparkSession
-    distinct = written(prints.select("print").distinct(), "distinct")
-    if temporary is not None:
-        temporary.append(distinct)
-    n = distinct.count()
-    # A number of partitions of our own: each print becomes a row for each key, which Spark's estimate leaves out.
-    keys = shape.words * (64 + len(shape.segments))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * keys * KEY_BYTES // TASK_BYTES)
-    keyed = _keyed(distinct.repartition(tasks), shape)
+    keyed = _keyed(rows.repartition(_tasks(rows, n, shape.words * (64 + len(shape.segments)))), shape)
     if shape.words == 1 and n > refine:
         keyed = _refined(keyed, shape)
-    a = keyed.where("side <> 1").select(F.col("print").alias("a"), "key", F.col("side").alias("left"))
-    b = keyed.where("side <> 0").select(F.col("print").alias("b"), "key")
-    differ = [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(_words_of(F.col("a"), shape), _words_of(F.col("b"), shape), strict=True)]
-    near = sum(differ[1:], differ[0]) <= shape.max_bits
-    met = a.join(b.withColumnRenamed("key", "to"), (F.col("key") == F.col("to")) & ((F.col("left") == 0) | (F.col("a") < F.col("b"))) & near)
+    a = keyed.where("side <> 1").select(F.col("print").alias("a"), F.col("mark").alias("own"), "key", F.col("side").alias("left"))
+    b = keyed.where("side <> 0").select(F.col("print").alias("b"), F.col("mark").alias("other"), F.col("key").alias("to"))
+    met = a.join(b, (F.col("key") == F.col("to")) & (F.col("own") != F.col("other")) & ((F.col("left") == 0) | (F.col("a") < F.col("b"))) & _near(F.col("a"), F.col("b"), shape))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def links(prints: DataFrame, shape: Shape = NARROW, refine: int = REFINE) -> DataFrame:
+    """All pairs a < b of distinct fingerprints (column print) that differ in at most shape.max_bits bits."""
+    distinct = written(prints.select("print").distinct().withColumn("mark", F.xxhash64("print")), "distinct")
+    return _pairs(distinct, distinct.count(), shape, refine)
+
+
+def groups(prints: DataFrame, shape: Shape = NARROW, refine: int = REFINE) -> DataFrame:
+    """print and root (of its group) of each distinct fingerprint: a written table."""
+    distinct = written(prints.select("print").distinct(), "distinct")
+    n = distinct.count()
+    star = stars(distinct, n, shape)
+    first = components(star)
+    # The mark is a hash of the group, which is all that the join has to tell apart.
+    rooted = written(distinct.join(first, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root")).withColumn("mark", F.xxhash64("root")), "rooted")
+    drop(star, first, distinct)
+    pairs = written(_pairs(rooted.select("print", "mark"), n, shape, refine), "pairs")
+    root = rooted.select("print", "root")
+    ends = pairs.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b")
+    second = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    out = written(rooted.select("print", F.col("root").alias("first")).join(second, F.col("first") == F.col("node"), "left").select("print", F.coalesce("root", "first").alias("root")), "roots")
+    drop(rooted, pairs, second)
+    return out
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root, the smallest node that it reaches, for every node of the edges a, b.
 
     Large-star and small-star steps in turn (Kiveris and others, 2014) until nothing changes. Each is a
-    grouped minimum and a join, so that a node with very many neighbours is pre-aggregated and split.
+    grouped minimum and a join; the minimum is written first, so that the rows of a node with very many
+    neighbours come straight from an exchange and can be split.
     """
     both = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         sym = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = written(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         after = written(small.distinct(), "edges")
         now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        drop(both)
+        drop(both, low, large, lower)
         both = after
         if now == seen:
             break
@@ -197,15 +241,12 @@ def near_duplicates(docs: DataFrame, shape: Shape = NARROW) -> DataFrame:
     """Of every row doc_id, tag (a hash of its text), print, root (its group) and component_id, the smallest
     doc_id of the group (null if no row of it has one)."""
     prints = written(fingerprints(docs, shape), "prints")
-    temporary: list[DataFrame] = []
-    linked = components(links(prints, shape, temporary=temporary))
-    drop(*temporary)
-    roots = linked.select(F.col("node").alias("print"), "root")
-    least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "least")
+    roots = groups(prints, shape)
+    least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print"), "least")
     # Written on its own, so that the rows of a very large group come straight from an exchange and can be split.
     first = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     ids = written(least.join(first, "root").select("print", "root", "component_id"), "ids")
-    drop(least, first, linked)
+    drop(least, first, roots)
     return prints.join(ids, "print").select("doc_id", "tag", "print", "root", "component_id")
 
 
