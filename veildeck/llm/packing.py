@@ -38,8 +38,8 @@ SIZE = 1024
 END_ID = 0
 BUCKETS = 32
 BITS = 10
-#: Pieces kept by a worker, in each of two generations: some 110 MB.
-KEPT_PIECES = 1 << 18
+#: Pieces kept by a worker, in each of two generations: some 160 MB.
+KEPT_PIECES = 3 << 17
 #: Letters below this code point have been letters in all versions of Unicode since 5.0.
 PLAIN_BELOW = "\u0250"
 #: Bytes of ids in a range, about; rows sampled for each, and in all.
@@ -96,15 +96,16 @@ class Encoder:
         self.marks_after = _Kept(self._piece, KEPT_PIECES >> 4)
 
     def _piece(self, x: str) -> bytes:
-        word = x[1:] if x[:1] == " " else x
-        core = word.rstrip(string.punctuation)
-        if core and core != word and core.isalpha() and max(core) < PLAIN_BELOW:
-            return (self.rest if x[:1] == " " else self.first)[core] + self.marks_after[word[len(core) :]]
-        if word.isalpha() and max(word) < PLAIN_BELOW:
-            ids = [t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.tokenizer.encode(x, add_special_tokens=False).ids
-        return array(self.code, ids).tobytes()
+        """Of a word at a text's start, or of one with the space before it."""
+        word, own = (x[1:], self.rest) if x[:1] == " " else (x, self.first)
+        if word.isalpha():
+            if word.isascii():
+                return array(self.code, [t.id for t in self.tokenizer.model.tokenize("Ġ" + word if own is self.rest else word)]).tobytes()
+            if max(word) < PLAIN_BELOW:
+                return array(self.code, [t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        elif (core := word.rstrip(string.punctuation)) != word and core.isalpha() and max(core) < PLAIN_BELOW:
+            return own[core] + self.marks_after[word[len(core) :]]
+        return array(self.code, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.cuts or "  " in text or text[-1:] == " " or any(m in text for m in self.marks):
