@@ -38,9 +38,9 @@ from .common import dealt, drop, drop_part, written
 #: Never part of UTF-8, so it stands for the ends of a text.
 END = 0xFF
 #: A chunk of texts is closed at either bound, or after one text beyond it.
-CHUNK_BYTES, CHUNK_DOCS = 12 << 20, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 40_000
 #: Bytes whose codes are held at once, or one text's; distinct codes held before they are merged.
-SLICE, HELD_CODES = 2 << 20, 2 << 20
+SLICE, HELD_CODES = 1 << 20, 1 << 20
 FOLDS, HELD = 5, 1
 #: Orders up to this are sent to every executor; buckets that the codes of higher ones are dealt to.
 LOW, BUCKETS = 2, 1 << 11
