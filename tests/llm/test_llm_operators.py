@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veildeck.llm import debruijn, decontaminate, langid, mincut, packing, ppm, quality, secrets, simhash, urlrules
+from veildeck.llm import common, debruijn, decontaminate, langid, mincut, packing, ppm, quality, secrets, simhash, urlrules
 from veildeck.llm.queries import URL_RULES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, token string, score string, key string, row string"
@@ -644,3 +644,26 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(5, k) for k in range(6, 40)] + [(50, 49), (49, 48), (60, 60)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 141)} | {k: 5 for k in range(5, 40)} | {48: 48, 49: 48, 50: 48}
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Small as Parquet files, but exploded or read again they would fill the driver at the default threshold."""
+    rng, plans = random.Random(8), []
+
+    def seen(df, tag, write=simhash.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    prints = [rng.getrandbits(63) for _ in range(1500)]
+    rows = common.written(spark.createDataFrame([(p ^ bit,) for p in prints for bit in (0, 1)], "print long"), "test")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert int(threshold.rstrip("b")) >= 10 << 20
+    root = {r.print: r.root for r in simhash.groups(rows).collect()}
+    assert root == {q: min(p, p ^ 1) for p in prints for q in (p, p ^ 1)}
+    keyed_joins = [p for p in plans if "bit_count" in p and "shiftleft" in p]  # 3000 prints are 201,000 keys
+    assert keyed_joins and not any("BroadcastHashJoin" in p for p in keyed_joins)
+    plans.clear()
+    monkeypatch.setattr(common, "FEW_ROWS", -1, raising=False)  # even empty tables
+    assert {r.print: r.root for r in simhash.groups(rows).collect()} == root
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)

@@ -13,6 +13,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of a joined table up to which Spark may broadcast it.
+FEW_ROWS = 1 << 16
+
 #: Paths given out by scratch(), in order.
 MADE: list[str] = []
 
@@ -80,6 +83,13 @@ def drop(*tables: DataFrame) -> None:
                 delete(df.sparkSession, name)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df as one side of a join whose smaller side has that many rows at most. Spark goes by the bytes of Parquet
+    files, where ids compress and rows still to be exploded are one; what it takes for 10 MB may fill the
+    driver's heap. So only few rows are left to its choice, more are merged."""
+    return df if rows <= FEW_ROWS else df.hint("merge")
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

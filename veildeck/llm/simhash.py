@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, sized, written
 
 
 class Shape(NamedTuple):
@@ -167,7 +167,7 @@ def stars(distinct: DataFrame, n: int, shape: Shape) -> DataFrame:
     cells = [F.xxhash64(F.lit(i), x) for i, x in enumerate(seg)] + [F.xxhash64(F.lit(i), x, F.lit(j), y) for i, x in enumerate(seg) for j, y in enumerate(seg[:i])]
     each = distinct.repartition(_tasks(distinct, n, len(cells))).select("print", F.explode(F.array(*cells)).alias("cell"))
     least = written(each.groupBy("cell").agg(F.min("print").alias("least"), F.count("*").alias("n")).where("n > 1").select("cell", "least"), "cells")
-    met = each.join(least, "cell").where((F.col("print") != F.col("least")) & _near(F.col("print"), F.col("least"), shape))
+    met = each.join(sized(least, least.count()), "cell").where((F.col("print") != F.col("least")) & _near(F.col("print"), F.col("least"), shape))
     out = written(met.select(F.col("least").alias("a"), F.col("print").alias("b")).distinct(), "stars")
     drop(least)
     return out
@@ -177,12 +177,13 @@ def _pairs(rows: DataFrame, n: int, shape: Shape, refine: int) -> DataFrame:
     """Pairs a < b of the n rows (print, mark) that are near and differ in their marks."""
     if shape.words == 1 and not 0 <= shape.max_bits <= 2 * len(shape.segments) - 1:
         raise ValueError("one of three segments differs by one bit at most only up to five bits")
-    keyed = _keyed(rows.repartition(_tasks(rows, n, shape.words * (64 + len(shape.segments)))), shape)
+    keys = shape.words * (64 + len(shape.segments))
+    keyed = _keyed(rows.repartition(_tasks(rows, n, keys)), shape)
     if shape.words == 1 and n > refine:
         keyed = _refined(keyed, shape)
     a = keyed.where("side <> 1").select(F.col("print").alias("a"), F.col("mark").alias("own"), "key", F.col("side").alias("left"))
     b = keyed.where("side <> 0").select(F.col("print").alias("b"), F.col("mark").alias("other"), F.col("key").alias("to"))
-    met = a.join(b, (F.col("key") == F.col("to")) & (F.col("own") != F.col("other")) & ((F.col("left") == 0) | (F.col("a") < F.col("b"))) & _near(F.col("a"), F.col("b"), shape))
+    met = a.join(sized(b, n * keys), (F.col("key") == F.col("to")) & (F.col("own") != F.col("other")) & ((F.col("left") == 0) | (F.col("a") < F.col("b"))) & _near(F.col("a"), F.col("b"), shape))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -199,13 +200,14 @@ def groups(prints: DataFrame, shape: Shape = NARROW, refine: int = REFINE) -> Da
     star = stars(distinct, n, shape)
     first = components(star)
     # The mark is a hash of the group, which is all that the join has to tell apart.
-    rooted = written(distinct.join(first, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root")).withColumn("mark", F.xxhash64("root")), "rooted")
+    rooted = written(distinct.join(sized(first, 2 * star.count()), F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root")).withColumn("mark", F.xxhash64("root")), "rooted")
     drop(star, first, distinct)
     pairs = written(_pairs(rooted.select("print", "mark"), n, shape, refine), "pairs")
     root = rooted.select("print", "root")
-    ends = pairs.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b")
+    found = pairs.count()
+    ends = pairs.join(sized(root.toDF("a", "root_a"), found), "a").join(sized(root.toDF("b", "root_b"), found), "b")
     second = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    out = written(rooted.select("print", F.col("root").alias("first")).join(second, F.col("first") == F.col("node"), "left").select("print", F.coalesce("root", "first").alias("root")), "roots")
+    out = written(rooted.select("print", F.col("root").alias("first")).join(sized(second, 2 * found), F.col("first") == F.col("node"), "left").select("print", F.coalesce("root", "first").alias("root")), "roots")
     drop(rooted, pairs, second)
     return out
 
@@ -218,20 +220,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours come straight from an exchange and can be split.
     """
     both = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    n, seen = both.count(), None
     for _ in range(rounds):
         sym = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = written(sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = written(sym.where("v > u").join(sized(low, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(sized(lower, 2 * n), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         after = written(small.distinct(), "edges")
         now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         drop(both, low, large, lower)
         both = after
         if now == seen:
             break
-        seen = now
+        n, seen = now[0], now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return both.select(F.col("u").alias("node"), F.col("v").alias("root")).union(both.select("v", "v").distinct())
@@ -242,12 +244,13 @@ def near_duplicates(docs: DataFrame, shape: Shape = NARROW) -> DataFrame:
     doc_id of the group (null if no row of it has one)."""
     prints = written(fingerprints(docs, shape), "prints")
     roots = groups(prints, shape)
-    least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(roots, "print"), "least")
+    n = roots.count()
+    least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(sized(roots, n), "print"), "least")
     # Written on its own, so that the rows of a very large group come straight from an exchange and can be split.
     first = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    ids = written(least.join(first, "root").select("print", "root", "component_id"), "ids")
+    ids = written(least.join(sized(first, first.count()), "root").select("print", "root", "component_id"), "ids")
     drop(least, first, roots)
-    return prints.join(ids, "print").select("doc_id", "tag", "print", "root", "component_id")
+    return prints.join(sized(ids, n), "print").select("doc_id", "tag", "print", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shape: Shape = WIDE) -> DataFrame:
