@@ -667,3 +667,6 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "FEW_ROWS", -1, raising=False)  # even empty tables
     assert {r.print: r.root for r in simhash.groups(rows).collect()} == root
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    docs = common.written(frame(spark, [(k, " ".join(f"w{k % 7}x{j}" for j in range(30))) for k in range(40)]), "test")
+    assert simhash.representatives(docs).count() == 7
+    assert not any("BroadcastHashJoin" in p for p in plans)

@@ -259,7 +259,9 @@ def representatives(docs: DataFrame, shape: Shape = WIDE) -> DataFrame:
     found = written(near_duplicates(docs, shape), "groups")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
     stay = written(first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.tag").alias("stay_tag")), "stay")
-    again = found.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("tag") == F.col("stay_tag"))).count() > stay.count()
+    n = stay.count()
+    stay = sized(stay, n)
+    again = found.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("tag") == F.col("stay_tag"))).count() > n
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_tag"))
     kept = docs.join(stay, here, "left_semi")
     drop(found)
