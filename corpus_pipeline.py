@@ -9,7 +9,8 @@
 4. secrets: what the scan finds is replaced within the text; every document stays.
 5. packing: the pieces of the packed sequences.
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents. Each begins with room for its Python workers, as heaps keep
+what the stage before it needed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veildeck.llm import decontaminate, langid, packing, secrets, simhash
-from veildeck.llm.common import MADE, sweep, table, written
+from veildeck.llm.common import MADE, ready, sweep, table, written
 from veildeck.llm.queries import tokenizer_path
 
 #: Documents that share less than this of their n-gram ranks with the nearest language are rejected.
@@ -26,6 +27,7 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     profiles = langid.profiles(docs)
     found = langid.identified(docs, profiles)
     if not profiles:
@@ -34,18 +36,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return simhash.representatives(docs, simhash.WIDE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), least_full=1)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return secrets.without_secrets(docs, secrets.Scanner(secrets.ordinary_strings(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return packing.packed(docs, tokenizer_path(), with_ids=True)
 
 

@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veildeck.llm import langid, packing, secrets
+from veildeck.llm import common, langid, packing, secrets
 from veildeck.llm.queries import tokenizer_path
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -123,3 +124,45 @@ def test_empty_tables_and_nulls(spark, tmp_path, case):
         assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
     if case == "no labels":
         assert {r.doc_id for r in out.select("doc_id").collect()} >= set(range(1, 40))
+
+
+def test_stages_begin_with_room(spark, tmp_path, monkeypatch):
+    tables(spark, tmp_path, given(), [(1, ITEM)])
+    order = []
+    monkeypatch.setattr(corpus_pipeline, "ready", lambda _: order.append("ready"))
+    stage = lambda name, f: lambda *a: (order.append(name), f(*a))[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, stage(name, f)) for name, f in corpus_pipeline.STAGES])
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert order == [x for name, _ in corpus_pipeline.STAGES for x in (name, "ready")]
+
+
+def test_room(spark, monkeypatch):
+    collected = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    before = collected()
+    common.give_back(spark, 2)
+    assert collected() > before
+
+    docs = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("some words "), 200).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    spark.conf.unset(common.BATCH_SETTING)
+    common.ready(spark)
+    found = [r.n for r in docs.mapInArrow(common.lean(sizes), "n long").collect()]
+    assert sum(found) > 8_000_000 and max(found) < 2 * common.BATCH_BYTES
+    spark.conf.set(common.BATCH_SETTING, "4m")  # the session's own setting stays
+    common.ready(spark)
+    assert spark.conf.get(common.BATCH_SETTING) == "4m"
+    spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4] and calls == [1]
+    rows = common.lean(lambda batches: (b for b in batches))([1, 2])
+    assert next(rows) == 1 and calls == [1]
+    rows.close()  # a task that ends early
+    assert calls == [1, 1]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a joined table up to which Spark may broadcast it.
 FEW_ROWS = 1 << 16
 
+#: Bytes of rows that a Python worker is sent at once, about, and the setting for it.
+BATCH_BYTES, BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Paths given out by scratch(), in order.
 MADE: list[str] = []
 
@@ -58,6 +65,43 @@ def dealt(df: DataFrame, tag: str, column: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def ready(spark: SparkSession) -> None:
+    """Makes room for Python workers before a stage. They get their rows in batches of about BATCH_BYTES (Spark's own
+    64 MB are held by the worker and, up to twice, beside the heap), unless the session has a setting of its own;
+    and the executors give back what their heaps don't use, which they otherwise keep from earlier stages."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    if spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext._jvm.System.gc()
+    else:
+        give_back(spark, spark.sparkContext.defaultParallelism)
+
+
+def give_back(spark: SparkSession, tasks: int) -> None:
+    """That many tasks that collect their JVM's garbage; as many as there are cores meet all executors that are idle."""
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
+def release() -> None:
+    """Gives the freed memory that this Python process still keeps back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow, after which its worker, which Spark keeps for later tasks, holds no freed memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def delete(spark: SparkSession, path: str) -> None:
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)

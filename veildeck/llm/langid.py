@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import lean
+
 TOP = 300
 ORDERS = 3
 #: Documents a language that profiles are fitted on, about.
@@ -91,7 +93,7 @@ def profiles(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict[
     place = F.shiftrightunsigned(F.xxhash64(F.lit("profile"), "doc_id", "text"), 11) / float(1 << 53)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n))])
     chosen = rows.where(place < share[F.col("lang")]).select("lang", "text")
-    sums = chosen.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = chosen.mapInArrow(lean(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "gram", "rank").toPandas()
     return {lang: g.sort_values("rank")["gram"].to_numpy() for lang, g in best.groupby("lang")}
@@ -131,4 +133,4 @@ def identified(docs: DataFrame, profile: dict[str, np.ndarray]) -> DataFrame:
             found = [judge(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["row", "lang_pred", "score"])
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(lean(run), schema)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, release, written
 
 SIZE = 1024
 END_ID = 0
@@ -136,6 +136,7 @@ def _forget() -> None:
                 for cache in (x.first, x.rest, x.marks_after):
                     cache.clear()
                     cache.old = {}
+    release()
 
 
 def hilbert(point: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -255,12 +256,12 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
     if size < 1 or size & (size - 1):
         raise ValueError("the size of a sequence is a power of two")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = written(texts.mapInArrow(_encoded(tokenizer), "doc_id long, key long, width int, ids binary"), "ids")
+    ids = written(texts.mapInArrow(lean(_encoded(tokenizer)), "doc_id long, key long, width int, ids binary"), "ids")
     # Equal rows are told apart by their place in the written table.
     salted = ids.withColumn("place", F.array("key", F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(F.monotonically_increasing_id())))
     bounds = _bounds(salted)
     along = salted.withColumn("part", placed(bounds, F.col("place"))).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("key", "doc_id", "ids")
-    return along.select("doc_id", "key", "width", "ids").mapInArrow(_laid_out(size, with_ids), PIECES)
+    return along.select("doc_id", "key", "width", "ids").mapInArrow(lean(_laid_out(size, with_ids)), PIECES)
 
 
 def _bounds(rows: DataFrame) -> list[list[int]]:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("assign", "access", "hex", "markov")
 # The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -173,7 +175,7 @@ def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS, most: int = SAMPLE_W
     rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     total = rows.count()
     place = F.shiftrightunsigned(F.xxhash64(F.lit("ordinary"), "doc_id", "text"), 11) / float(1 << 53)
-    words = rows.where(place < min(1.0, n / max(total, 1))).select("text").mapInArrow(_words_of, "word string").distinct()
+    words = rows.where(place < min(1.0, n / max(total, 1))).select("text").mapInArrow(lean(_words_of), "word string").distinct()
     return identifiers(sorted(r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(most).collect()))
 
 
@@ -238,6 +240,6 @@ def without_secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
             texts = [redacted(t, s) if t and (s := scanner.spans(t)) else t for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "clean"])
 
-    done = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, clean string")
+    done = packed.mapInArrow(lean(run), f"row {packed.schema['row'].dataType.simpleString()}, clean string")
     new = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

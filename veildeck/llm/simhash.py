@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, sized, written
+from .common import drop, lean, sized, written
 
 
 class Shape(NamedTuple):
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, shape: Shape = NARROW) -> DataFrame:
 
     kind = "long" if shape.words == 1 else "struct<" + ",".join(f"p{k}:long" for k in range(shape.words)) + ">"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
-    return texts.mapInArrow(run, f"doc_id long, tag long, print {kind}")
+    return texts.mapInArrow(lean(run), f"doc_id long, tag long, print {kind}")
 
 
 def _words_of(x: Column, shape: Shape) -> list[Column]:
