@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from veildeck.llm import ppm, queries
+from veildeck.llm import common, ppm, queries
 
 TEXTS = ["the cat sat on the mat", "the cat ran", "", None, "éa then the thing", "a catalogue of the matter", "the cat sat on the hat", "zzzz the cat qqq"]
 
@@ -56,3 +56,26 @@ def test_order_two_is_the_trie():
     code, n = np.unique(ppm.long_codes(texts, 2)[0], return_counts=True)
     old = (code >> 8 & 0xFF) << 16 | (code >> 16) << 8 | code & 0xFF
     assert ppm.log_probabilities(code, n, low, 2) == pytest.approx(ppm.log_table(*low)[old].astype(float), abs=1e-5)
+
+
+def test_dealt_rows_are_not_sorted(spark):
+    rows = [(k % 3, k) for k in range(100)] + [(None, 100)]
+    before = spark.conf.get(common.OPEN_SETTING)
+    done = spark._jsparkSession.sharedState().statusStore()
+    found, path = common.dealt(spark.createDataFrame(rows, "kind int, n long").repartition(2), "test", "kind")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plan = done.executionsList().apply(done.executionsCount() - 1).physicalPlanDescription()
+    assert "WriteFiles" in plan and "Sort (" not in plan and spark.conf.get(common.OPEN_SETTING) == before
+    assert sorted(map(tuple, found.select("kind", "n").collect()), key=repr) == sorted(rows, key=repr)
+    common.drop_part(spark, path, "kind", 1)
+    assert spark.read.parquet(path).count() == 101 - 33
+
+
+def test_scoring_makes_room_before_each_python_stage(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(ppm, "ready", lambda _: steps.append("ready"))
+    for name in ("trained", "dealt", "written"):
+        monkeypatch.setattr(ppm, name, lambda *a, f=getattr(ppm, name): (steps.append(a[1] if len(a) > 1 else "trained"), f(*a))[1])
+    docs = spark.createDataFrame([(1, "the cat"), (2, "the hat")], "doc_id long, text string")
+    assert ppm.scored(docs, 4).count() == 2
+    assert steps == ["ready", "trained", "postings", "counts", "back", "ready", "logs", "ready"]

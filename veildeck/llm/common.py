@@ -23,6 +23,9 @@ FEW_ROWS = 1 << 16
 #: Bytes of rows that a Python worker is sent at once, about, and the setting for it.
 BATCH_BYTES, BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Folders of dealt() that a task may write at the same time; a setting, too.
+OPEN_FOLDERS, OPEN_SETTING = 16, "spark.sql.maxConcurrentOutputFileWriters"
+
 #: Paths given out by scratch(), in order.
 MADE: list[str] = []
 
@@ -57,10 +60,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, tag: str, column: str) -> tuple[DataFrame, str]:
-    """df written with a folder for each value of a column, and the path; drop_part deletes one of them."""
+    """df written with a folder for each value of a column, and the path; drop_part deletes one of them.
+
+    Up to OPEN_FOLDERS folders are written side by side; else Spark would first sort all rows of a task by the column.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.partitionBy(column).parquet(path)
+    before = spark.conf.get(OPEN_SETTING)
+    spark.conf.set(OPEN_SETTING, max(int(before), OPEN_FOLDERS))
+    try:
+        df.write.partitionBy(column).parquet(path)
+    finally:
+        spark.conf.set(OPEN_SETTING, before)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 

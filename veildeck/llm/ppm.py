@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, drop, drop_part, written
+from .common import dealt, drop, drop_part, lean, ready, release, written
 
 #: Never part of UTF-8, so it stands for the ends of a text.
 END = 0xFF
@@ -147,7 +147,7 @@ def log_table(code: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def trained(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of all training texts: at most 256^3 of them."""
-    got = docs.mapInArrow(_count_codes, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.mapInArrow(lean(_count_codes), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     return got["code"].to_numpy().astype(np.int64), got["n"].to_numpy()
 
 
@@ -272,6 +272,7 @@ def _postings(order: int):
                 m = len(words[k : k + (1 << 16)])
                 yield rows(m, WORDS, chunk, token=words[k : k + m], number=np.arange(k, k + m, dtype=np.int32), n_train=n[k : k + m])
             yield rows(1, WORDS, chunk, token=[b""], n_train=[sum(train)])
+            del index, n_train, words, n
             code, count = _distinct(texts, train, order)
             bucket = _bucket(code, order)
             by = np.argsort(bucket, kind="stable")
@@ -344,6 +345,7 @@ def _summed(n_all: int, kinds: int, ends: int, order: int):
         counts[words["number"].to_numpy()] = words["c"].to_numpy()
         base = np.log10((ends + 0.5) / rest) + np.bincount(doc, weights=np.log10((counts + 0.5) / rest)[tokens], minlength=len(texts))
         known = int(ends > 0) + np.bincount(doc, weights=counts[tokens] > 0, minlength=len(texts)).astype(np.int64)
+        del index, found, tokens, doc, counts  # the words' share, before that of the codes is made
         coded = _coded(texts, order)
         code = np.unique(np.concatenate([c for c, _, _ in coded]))
         logs = np.empty(len(code))
@@ -351,6 +353,8 @@ def _summed(n_all: int, kinds: int, ends: int, order: int):
         by_bucket = [np.frombuffer(rows["data"][int(k)].as_py(), np.float32) for k in np.argsort(bucket) if bucket[k] >= 0]
         logs[np.argsort(_bucket(code, order), kind="stable")] = np.concatenate(by_bucket)
         scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(code, c)][place], starts) for c, place, starts in coded])
+        del texts, coded, code, logs, by_bucket
+        release()
         return pa.table({"doc_id": pa.array(ids, mask=masked), "held_out": [held_out(None if m else int(i)) for i, m in zip(ids, masked, strict=True)], "n_tokens": np.array(lengths, np.int64), "n_known": known, "train_tokens": np.full(len(ids), n_all, np.int64), "base_score": base, "score": scores})
 
     return run
@@ -361,8 +365,9 @@ def scored(docs: DataFrame, order: int = LOW) -> DataFrame:
     to `order` bytes, 2 to 6."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ready(spark)
     model = spark.sparkContext.broadcast(trained(texts))
-    found, path = dealt(texts.mapInArrow(_postings(order), FIELDS), "postings", "kind")
+    found, path = dealt(texts.mapInArrow(lean(_postings(order)), FIELDS), "postings", "kind")
     words = found.where(F.col("kind") == WORDS)
     counts = written(words.groupBy("token").agg(F.sum("n_train").alias("c")).where("c > 0"), "counts")
     n_all, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("token") == 0, F.col("c"))), F.lit(0))).first()
@@ -370,8 +375,10 @@ def scored(docs: DataFrame, order: int = LOW) -> DataFrame:
     back = written(words.where("number is not null").select("chunk", "number", "token").join(counts, "token").select("chunk", "number", "c"), "back")
     drop_part(spark, path, "kind", WORDS)
     drop(counts)
+    ready(spark)
     rows = found.select("kind", "chunk", "bucket", "ids", "masked", "data")
     judged = written(rows.where(F.col("kind") == CODES).select("chunk", "bucket", "data").groupBy("bucket").applyInArrow(_judged(model, order), "chunk long, bucket int, data binary"), "logs")
     drop_part(spark, path, "kind", CODES)
+    ready(spark)
     both = judged.unionByName(rows.where(F.col("kind") == TEXTS).drop("kind"), allowMissingColumns=True)
     return back.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_summed(n_all, kinds, ends, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
