@@ -665,7 +665,10 @@ def stored_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector as a file of one image: boxes filled, stored and read again; every third wholly."""
     from ..sources import dicom
 
-    rows = X.table(spark, sf, "embeddings").select(F.concat(F.lit("e"), "vec_id").alias("file_id"), "vec_id", F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 100) % 200).cast("int")).alias("cells"))
+    table = X.table(spark, sf, "embeddings")
+    # In the precision of the vectors, as SQL multiplies: 0.18 as a float is 18 hundredths, as a double 17.99...
+    hundred = F.lit(100).cast(table.schema["embedding"].dataType.elementType)
+    rows = table.select(F.concat(F.lit("e"), "vec_id").alias("file_id"), "vec_id", F.transform("embedding", lambda v: (F.floor(F.abs(v) * hundred) % 200).cast("int")).alias("cells"))
 
     def files(batches):
         import pyarrow as pa
