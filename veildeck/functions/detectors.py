@@ -4,26 +4,33 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import spans as S
 
-# Formats of identifiers, check-letter tables, months, scores.
-NRIC = r"\b[STFGM]\d{7}[A-Z]\b"
+# Formats of identifiers, check-letter tables, months, scores. What stands before a match is
+# looked at late, where the characters already fit, as looking behind at every position costs far more.
+NRIC = r"[STFGM]\d{7}[A-Z](?<=\b[A-Z]\d{7}[A-Z])\b"
 NRIC_WEIGHTS = (2, 7, 6, 5, 4, 3, 2)
 NRIC_LETTERS_ST, NRIC_LETTERS_FG = "JZIHGFEDCBA", "XWUTRQPNMLK"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-PHONE = r"(?<![0-9A-Za-z])(?:\+?65[\s-]?)?[3689]\d{3}[\s-]?\d{4}(?![0-9A-Za-z])"
-TEMP_IC = r"(?i)(?<![0-9A-Za-z])[XY](?:\d{7}|\d{10})[A-Z](?![0-9A-Za-z])"
-CASE_NUMBER = r"(?<![0-9A-Za-z])\d{10}[A-Za-z](?![0-9A-Za-z])"
+EMAIL = r"\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+PHONE = r"[+3689](?<![0-9A-Za-z].)(?:(?<=\+)65[\s-]?[3689]|(?<=6)5[\s-]?[3689]|(?<!\+))\d{3}[\s-]?\d{4}(?![0-9A-Za-z])"
+TEMP_IC = r"(?i)[XY](?<![0-9A-Za-z].)(?:\d{7}|\d{10})[A-Z](?![0-9A-Za-z])"
+CASE_NUMBER = r"\d(?<![0-9A-Za-z].)\d{9}[A-Za-z](?![0-9A-Za-z])"
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t)?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
-DATE_ISO = r"(?<![0-9A-Za-z])(\d{4})-(\d{2})-(\d{2})(?:[ T]\d{2}:\d{2}(?::\d{2})?)?(?![0-9A-Za-z])"
-DATE_NUMERIC = r"(?<![0-9A-Za-z])(\d{1,4})([/.\-])(\d{1,2})\2(\d{1,4})(?![0-9A-Za-z])"
-DATE_DAY_NAME = rf"(?i)(?<![0-9A-Za-z])(\d{{1,2}})(?:st|nd|rd|th)?[ \-](?:{MONTHS})[ ,\-]+\d{{2,4}}(?![0-9A-Za-z])"
-DATE_NAME_DAY = rf"(?i)(?<![A-Za-z])(?:{MONTHS})\.?[ \-](\d{{1,2}})(?:st|nd|rd|th)?[ ,\-]+\d{{2,4}}(?![0-9A-Za-z])"
-DATE_BARE_14, DATE_BARE_8 = r"(?<![0-9A-Za-z])\d{14}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])\d{8}(?![0-9A-Za-z])"
+DATE_ISO = r"\d(?<![0-9A-Za-z].)\d{3}-(\d{2})-(\d{2})(?:[ T]\d{2}:\d{2}(?::\d{2})?)?(?![0-9A-Za-z])"
+DATE_NUMERIC = r"\d(?<![0-9A-Za-z].)\d{0,3}([/.\-])\d{1,2}\1\d{1,4}(?![0-9A-Za-z])"
+DATE_DAY_NAME = rf"(?i)(\d(?<![0-9A-Za-z].)\d?)(?:st|nd|rd|th)?[ \-](?:{MONTHS})[ ,\-]+\d{{2,4}}(?![0-9A-Za-z])"
+DATE_NAME_DAY = rf"(?i)(?=[ADFJMNOS])(?<![A-Za-z])(?:{MONTHS})\.?[ \-](\d{{1,2}})(?:st|nd|rd|th)?[ ,\-]+\d{{2,4}}(?![0-9A-Za-z])"
+DATE_BARE_14, DATE_BARE_8 = r"\d(?<![0-9A-Za-z].)\d{13}(?![0-9A-Za-z])", r"\d(?<![0-9A-Za-z].)\d{7}(?![0-9A-Za-z])"
+#: What every text with a match of a pattern has, asked before the pattern itself: best what begins with a rare character.
+HINTS = {
+    EMAIL: "@", PHONE: r"[3689]\d{3}[\s-]?\d{4}", TEMP_IC: r"[XYxy]\d{7}", CASE_NUMBER: r"\d{10}[A-Za-z]", DATE_ISO: r"-\d{2}-\d{2}", DATE_NUMERIC: r"[/.\-]\d{1,2}[/.\-]\d",
+    DATE_DAY_NAME: r"[ \-][ADFJMNOSadfjmnos][A-Za-z]{2,8}[ ,\-]+\d{2}", DATE_NAME_DAY: r"[A-Za-z.][ \-]\d{1,2}(?:[SsNnRrTt][TtDdHh])?[ ,\-]+\d{2}", DATE_BARE_14: r"\d{14}", DATE_BARE_8: r"\d{8}",
+}
 SCORES = {"nric": 1.0, "nric_shape": 0.5, "email": 1.0, "phone": 0.9, "temp_ic": 0.7, "case_number": 0.7, "iso": 0.85, "numeric": 0.8, "named": 0.9, "bare": 0.6}
 #: Names that a plan may hold.
 MOST_NAMES = 5000
@@ -35,11 +42,8 @@ CONFIDENT_SOURCES = ("header", "gazetteer", "sg", "custom_regex")
 
 def nric_letter(prefix: Column, digits: Column) -> Column:
     """The check letter of a number with prefix S, T, F or G; null for others."""
-    sums = F.aggregate(
-        F.zip_with(F.split(digits, ""), F.array(*map(F.lit, NRIC_WEIGHTS)), lambda d, w: F.coalesce(d.try_cast("int"), F.lit(0)) * F.coalesce(w, F.lit(0))),
-        F.lit(0),
-        lambda a, x: a + x,
-    )
+    terms = [F.coalesce(F.substring(digits, k, 1).try_cast("int"), F.lit(0)) * w for k, w in enumerate(NRIC_WEIGHTS, 1)]
+    sums = reduce(lambda a, x: a + x, terms)
     r = (sums + F.when(prefix.isin("T", "G"), 4).otherwise(0)) % 11 + 1
     return F.when(prefix.isin("S", "T"), F.substring(F.lit(NRIC_LETTERS_ST), r, 1)).when(prefix.isin("F", "G"), F.substring(F.lit(NRIC_LETTERS_FG), r, 1))
 
@@ -55,7 +59,7 @@ def nric(text: Column) -> Column:
 
 
 def _plain(pattern: str, category: str):
-    return lambda text: S.find(text, pattern, lambda a, b, m: S.span(a, b, category, m, "sg", SCORES[category]))
+    return lambda text: S.find(text, pattern, lambda a, b, m: S.span(a, b, category, m, "sg", SCORES[category]), hint=HINTS.get(pattern))
 
 
 email, phone, temp_ic, case_number = _plain(EMAIL, "email"), _plain(PHONE, "phone"), _plain(TEMP_IC, "temp_ic"), _plain(CASE_NUMBER, "case_number")
@@ -71,14 +75,20 @@ def _int(text: Column, pattern: str, group: int) -> Column:
 
 
 def _iso_fits(m: Column) -> Column:
-    return _int(m, DATE_ISO, 2).between(1, 12) & _int(m, DATE_ISO, 3).between(1, 31)
+    part = lambda at: F.substring(m, at, 2).cast("int")
+    return part(6).between(1, 12) & part(9).between(1, 31)
 
 
 def _numeric_fits(m: Column) -> Column:
-    first, last = F.regexp_extract(m, DATE_NUMERIC, 1), F.regexp_extract(m, DATE_NUMERIC, 4)
-    a, b, c = (_int(m, DATE_NUMERIC, k) for k in (1, 3, 4))
-    year_first = (F.length(first) == 4) & (F.length(last) <= 2)
-    return F.when(year_first, b.between(1, 12) & c.between(1, 31)).otherwise(F.length(last).isin(2, 4) & (F.length(first) <= 2) & day_month(a, b))
+    """The match is three numbers and twice the same separator."""
+
+    def fits(p: Column) -> Column:
+        first, last = p[0], p[2]
+        a, b, c = (p[k].cast("int") for k in range(3))
+        year_first = (F.length(first) == 4) & (F.length(last) <= 2)
+        return F.when(year_first, b.between(1, 12) & c.between(1, 31)).otherwise(F.length(last).isin(2, 4) & (F.length(first) <= 2) & day_month(a, b))
+
+    return S.let(F.split(m, r"[/.\-]"), fits)
 
 
 def _bare_fits(m: Column) -> Column:
@@ -93,7 +103,7 @@ def dates(text: Column, include_bare: bool = False) -> Column:
     forms = [(DATE_ISO, "iso", _iso_fits), (DATE_NUMERIC, "numeric", _numeric_fits), (DATE_DAY_NAME, "named", day(DATE_DAY_NAME)), (DATE_NAME_DAY, "named", day(DATE_NAME_DAY))]
     if include_bare:
         forms += [(DATE_BARE_14, "bare", _bare_fits), (DATE_BARE_8, "bare", _bare_fits)]
-    found = [S.find(text, p, lambda a, b, m, k=k: S.span(a, b, "date", m, "date", SCORES[k]), v) for p, k, v in forms]
+    found = [S.find(text, p, lambda a, b, m, k=k: S.span(a, b, "date", m, "date", SCORES[k]), v, HINTS[p]) for p, k, v in forms]
     return S.let(F.concat(*found), lambda all_: F.when(F.size(all_) <= 1, all_).otherwise(S.without_overlaps(all_)))
 
 
@@ -161,17 +171,21 @@ class Scanner:
     def with_(self, **changes) -> Scanner:
         return replace(self, **changes)
 
-    def raw(self, text: Column, known: Column | None = None) -> Column:
-        """All layers' spans, overlaps and all."""
+    def formats(self, text: Column) -> Column:
+        """Spans of the built-in formats."""
+        found = [f(text) for f in (nric, temp_ic, case_number, email, phone)]
+        if self.detect_dates:
+            found.append(dates(text, self.include_bare))
+        return F.when(text.rlike(ANY_FORMAT), F.concat(*found)).otherwise(S.no_spans())
+
+    def raw(self, text: Column, known: Column | None = None, formats: Column | None = None) -> Column:
+        """All layers' spans, overlaps and all. formats may have those of the built-in formats where they are known."""
         layers = []
         if known is not None:
             layers.append(header(text, known))
         if self.gazetteer:
             layers.append(gazetteer(text, list(self.gazetteer)))
-        formats = [f(text) for f in (nric, temp_ic, case_number, email, phone)]
-        if self.detect_dates:
-            formats.append(dates(text, self.include_bare))
-        layers.append(F.when(text.rlike(ANY_FORMAT), F.concat(*formats)).otherwise(S.no_spans()))
+        layers.append(self.formats(text) if formats is None else F.coalesce(formats, self.formats(text)))
         if self.custom:
             layers.append(custom(text, list(self.custom)))
         layers += [f(text) for f in self.extra]
@@ -181,11 +195,21 @@ class Scanner:
         return S.merge(self.raw(text, known))
 
 
+def raw(df, text: str, scanner: Scanner | None = None, known: str | None = None, out: str = "raw", more: Column | None = None):
+    """df with a column of all layers' spans, and those of `more` after them.
+
+    The built-in formats of ASCII texts are found in Arrow batches (see formats), those of others by columns."""
+    from . import formats
+
+    scanner = scanner or Scanner()
+    rows = df.withColumn("__formats", formats.found(F.col(text), scanner.detect_dates, scanner.include_bare))
+    spans = scanner.raw(F.col(text), F.col(known) if known else None, F.col("__formats"))
+    return S.once(rows, out, spans if more is None else F.concat(spans, more)).drop("__formats")
+
+
 def scanned(df, text: str, scanner: Scanner | None = None, known: str | None = None, out: str = "spans"):
     """df with a column of merged spans."""
-    scanner = scanner or Scanner()
-    found = S.once(df, "__found", scanner.raw(F.col(text), F.col(known) if known else None))
-    return S.once(found, out, S.merge(F.col("__found"))).drop("__found")
+    return S.once(raw(df, text, scanner, known, "__found"), out, S.merge(F.col("__found"))).drop("__found")
 
 
 def redacted(df, text: str, scanner: Scanner | None = None, known: str | None = None, replacement="[REDACTED]", out: str = "redacted"):

@@ -39,13 +39,16 @@ def span(start: Column, end: Column, category, text: Column, source: str, score)
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), as_col(category).alias("category"), text.alias("text"), F.lit(source).alias("source"), as_col(score).cast("double").alias("score"))
 
 
-def find(text: Column, pattern: Column | str, make: Callable[[Column, Column, Column], Column], valid: Callable[[Column], Column] | None = None) -> Column:
+def find(text: Column, pattern: Column | str, make: Callable[[Column, Column, Column], Column], valid: Callable[[Column], Column] | None = None, hint: str | None = None) -> Column:
     """The spans make(start, end, match) of all matches of a pattern, those that are not valid left out.
 
-    valid sees the match alone. The pattern may be a column, with another value in each row."""
-    clean = F.translate(text, OPEN + CLOSE, NEITHER)
+    valid sees the match alone. The pattern may be a column, with another value in each row. hint is a cheaper
+    pattern that every text with a match has; without one the pattern itself is asked first."""
+    # Translating costs more than a search, so only texts that hold a mark are translated.
+    clean = F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, NEITHER)).otherwise(text)
     rx = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    parts = F.split(F.regexp_replace(clean, rx, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]")
+    # One mark on both sides: every second part is a match, and splitting at one character takes no pattern.
+    parts = F.split(F.regexp_replace(clean, rx, F.lit(f"{OPEN}$0{OPEN}")), OPEN)
     state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"))
 
     def step(s: Column, part: Column) -> Column:
@@ -53,11 +56,19 @@ def find(text: Column, pattern: Column | str, make: Callable[[Column, Column, Co
         hit = F.array(F.struct(s["at"].alias("start"), end.alias("end"), part.alias("text")))
         return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"] & (F.length(part) > 0), F.concat(s["found"], hit)).otherwise(s["found"]).alias("found"))
 
-    found = F.aggregate(parts, state, step, lambda s: s["found"])
-    if valid is not None:
-        found = F.filter(found, lambda m: valid(m["text"]))
+    def spans(p: Column) -> Column:
+        found = F.aggregate(p, state, step, lambda s: s["found"])
+        if valid is not None:
+            found = F.filter(found, lambda m: valid(m["text"]))
+        # One match, the usual number, is put together without a fold.
+        one = F.get(p, F.lit(1))
+        start = F.length(F.get(p, F.lit(0)))
+        fits = F.length(one) > 0 if valid is None else (F.length(one) > 0) & valid(one)
+        return F.when(F.size(p) > 3, F.transform(found, lambda m: make(m["start"], m["end"], m["text"]))).when((F.size(p) == 3) & fits, F.array(make(start, start + F.length(one), one))).otherwise(no_spans())
+
     # A text without a match, nearly all of them, costs one search.
-    return F.when(text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, rx), F.transform(found, lambda m: make(m["start"], m["end"], m["text"]))).otherwise(no_spans())
+    has = F.regexp_like(text, rx) if isinstance(pattern, Column) else text.rlike(hint or pattern)
+    return F.when(has, let(parts, spans)).otherwise(no_spans())
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -97,8 +108,10 @@ def merge(spans: Column) -> Column:
         )
         return F.when(overlaps(last, s), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one))).otherwise(F.concat(done, F.array(s)))
 
-    ordered = F.array_sort(spans, before)
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.aggregate(ordered, no_spans(), step))
+    # Where nothing overlaps, the usual case, spans in order of their starts are the answer; `last` is the end so far.
+    apart = lambda x: F.aggregate(x, F.lit(0), lambda last, s: F.when((s["start"] >= last) & (s["end"] > s["start"]), s["end"])).isNotNull()
+    merged = let(F.sort_array(spans), lambda x: F.when(apart(x), x).otherwise(F.aggregate(F.array_sort(spans, before), no_spans(), step)))
+    return F.when(F.size(spans) <= 1, spans).otherwise(merged)
 
 
 def rewrite(text: Column, spans: Column, replacement: Callable[[Column], Column] | str = "[REDACTED]") -> Column:

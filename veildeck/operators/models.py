@@ -109,7 +109,7 @@ def scanned(df: DataFrame, text: str, scanner: D.Scanner | None = None, layers:
     """The scanner's spans and the models', merged; with notes."""
     scanner = scanner or D.Scanner()
     rows = model_spans(df, text, layers or [], "__model")
-    raw = S.once(rows, "__found", F.concat(scanner.raw(F.col(text), F.col(known) if known else None), F.col("__model")))
+    raw = D.raw(rows, text, scanner, known, "__found", F.col("__model"))
     return S.once(raw, out, S.merge(F.col("__found"))).drop("__found", "__model")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors as D
@@ -79,7 +79,7 @@ def merge_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """A number and a longer custom phrase over it become one span, under the longer one's label: the first
     merged span of a whole note, as the twin gives it. merge_overlaps_all gives them all."""
     scanner = D.Scanner(custom=(D.CustomRule(r"S\d{7}[A-Z] call\b", score=0.6),), detect_dates=False)
-    rows = S.once(X.notes(spark, sf), "raw", scanner.raw(F.col("text")))
+    rows = D.raw(X.notes(spark, sf).select("k", "text"), "text", scanner)
     one = S.once(rows, "merged", S.merge(F.col("raw"))).select("k", "raw", F.get("merged", F.lit(0)).alias("m"))
     first = F.element_at(F.filter("raw", lambda s: s["source"] == "sg"), 1)
     # The union's score is the higher one; a valid number's is 1, and so is never below the phrase's.
@@ -313,10 +313,14 @@ def stem_join(spark: SparkSession, sf: str) -> DataFrame:
 # --- residual scans
 
 
+def _output(k: Column) -> Column:
+    return F.concat(F.lit("out/f"), k, F.lit(".dcm"))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """Outputs: the notes of every tenth order still as they were, the others redacted."""
-    rows = D.redacted(X.notes(spark, sf), "text")
-    return rows.select(F.concat(F.lit("out/f"), F.col("k"), F.lit(".dcm")).alias("file_id"), F.lit(0x00081030).cast("long").alias("tag"), F.lit("StudyDescription").alias("keyword"), F.when(F.col("k") % 10 == 0, F.col("text")).otherwise(F.col("redacted")).alias("text"))
+    rows = D.redacted(X.notes(spark, sf).select("k", "text"), "text")
+    return rows.select(_output(F.col("k")).alias("file_id"), F.lit(0x00081030).cast("long").alias("tag"), F.lit("StudyDescription").alias("keyword"), F.when(F.col("k") % 10 == 0, F.col("text")).otherwise(F.col("redacted")).alias("text"))
 
 
 _LEFT = f"WITH {NOTES}, z AS (SELECT *, 'out/f' || k || '.dcm' AS file_id FROM t WHERE k % 10 = 0), g AS (SELECT file_id, unnest([{{'c': 'nric_fin', 's': CASE WHEN substr(nric, 9, 1) = {LETTER} THEN 1.0 ELSE 0.5 END, 'v': nric, 'o': TRUE}}, {{'c': 'phone', 's': 0.9, 'v': phone, 'o': TRUE}}, {{'c': 'email', 's': 1.0, 'v': mail, 'o': TRUE}}, {{'c': 'case_number', 's': 0.7, 'v': kase, 'o': TRUE}}, {{'c': 'date', 's': 0.85, 'v': iso, 'o': FALSE}}]) AS g FROM z), r AS (SELECT file_id, g.c AS category, g.s::DOUBLE AS score, g.v AS v, g.o AS confident FROM g)"
@@ -647,7 +651,7 @@ def recognised(spark: SparkSession, sf: str) -> DataFrame:
     """The registered recognisers over the notes, with a number without a check letter, a temporary one, and
     postal codes of two kinds."""
     extra = F.expr("concat(text, ' M1234567K Y', lpad(cast(k % 10000000 as string), 7, '0'), 'Q Singapore 12345', cast(k % 10 as string), if(k % 2 = 0, ' S(123456)', ' S(12345)'))")
-    rows = S.once(X.notes(spark, sf).withColumn("text", extra), "s", models.recognised(F.col("text")))
+    rows = S.once(X.notes(spark, sf).select("k", extra.alias("text")), "s", models.recognised(F.col("text")))
     return rows.select(F.explode("s").alias("s")).groupBy("s.category", "s.score").agg(F.count("*").alias("n"))
 
 
